@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import radixdup, sharding
+from . import radixdup, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,17 @@ def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radixdup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_lpt_sharding, op7_exact_duplicates)}
+    return {f.__name__: f for f in (op2_simhash_near_duplicates, op4_lpt_sharding, op7_exact_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

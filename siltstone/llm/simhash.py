@@ -1,7 +1,7 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
 Fingerprints have 64 search bits and 128 check bits, from the set of a text's
-words and word pairs. Two documents are near duplicates when their search bits
+words. Two documents are near duplicates when their search bits
 differ in at most ``tau`` places and their check bits in at most
 ``check_tau``. The search bits are put into partitions of correlated bits; if
 the partitions' thresholds add up to tau - partitions + 1, any two
@@ -39,11 +39,9 @@ _LOW = np.uint64(0xFFFF)
 
 
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, row) of the distinct words and word pairs of each text, rows ascending."""
+    """(hash, row) of the distinct words of each text, rows ascending."""
     h, row, _, _ = textvec.words(texts)
-    h2, row2 = textvec.shingles(h, row, 2)
-    key = np.concatenate([(row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)), (row2.astype(np.uint64) << np.uint64(44)) | (h2 >> np.uint64(20))])
-    key = np.unique(key)
+    key = np.unique((row.astype(np.uint64) << np.uint64(44)) | (h >> np.uint64(20)))
     return key & np.uint64((1 << 44) - 1), (key >> np.uint64(44)).astype(np.int64)
 
 
