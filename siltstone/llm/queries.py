@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import radixdup, sharding, simhash, toxicity
+from . import radixdup, sanitise, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.sanitised(_table(spark, sf_dir, "documents"))
+
+
 def op7_exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return radixdup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -31,7 +35,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_duplicates, op4_lpt_sharding, op7_exact_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op2_simhash_near_duplicates, op4_lpt_sharding, op6_pii_sanitisation, op7_exact_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
