@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import radixdup, sanitise, sharding, simhash, toxicity
+from . import packing, radixdup, sanitise, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
 def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_duplicates, op4_lpt_sharding, op6_pii_sanitisation, op7_exact_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op6_pii_sanitisation, op7_exact_duplicates, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
