@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, radixdup, sanitise, sharding, simhash, toxicity
+from . import bpe, packing, radixdup, sanitise, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.linked_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op3_related_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -33,13 +37,17 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op6_pii_sanitisation, op7_exact_duplicates, op10_toxicity)}
+    return {f.__name__: f for f in (op1_linked_secrets, op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op6_pii_sanitisation, op7_exact_duplicates, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
