@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, radixdup, sanitise, secrets, sharding, simhash, toxicity
+from . import bpe, chat, packing, radixdup, sanitise, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op4_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"))
 
 
+def op5_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    talks = _table(spark, sf_dir, "conversations")
+    return chat.parse(chat.transcripts(talks), chat.fit(talks))
+
+
 def op6_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.sanitised(_table(spark, sf_dir, "documents"))
 
@@ -47,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linked_secrets, op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op6_pii_sanitisation, op7_exact_duplicates, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_linked_secrets, op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op5_chat_transcripts, op6_pii_sanitisation, op7_exact_duplicates, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
