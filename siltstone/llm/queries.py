@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, packing, radixdup, sanitise, secrets, sharding, simhash, toxicity
+from . import bpe, chat, editprint, packing, radixdup, sanitise, secrets, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return editprint.edit_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_linked_secrets, op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op5_chat_transcripts, op6_pii_sanitisation, op7_exact_duplicates, op9_byte_bpe, op10_toxicity)}
+    return {f.__name__: f for f in (op1_linked_secrets, op2_simhash_near_duplicates, op3_related_packing, op4_lpt_sharding, op5_chat_transcripts, op6_pii_sanitisation, op7_exact_duplicates, op8_edit_fingerprints, op9_byte_bpe, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
