@@ -185,7 +185,7 @@ def near_edges(nodes: DataFrame, n: int, tau: int = TAU, check_tau: int = CHECK_
     found = nodes.select("fp").mapInArrow(to_values, "p int, v int").groupBy("p", "v").count().toPandas()
     hist[found["p"], found["v"]] = found["count"]
     limits = allocate([candidate_counts(h, 6) for h in hist], tau)
-    top = int(np.clip(np.ceil(np.log2(max(n, 1) / 20000)), 1, 12))  # leading bits that name a block
+    top = int(np.clip(np.ceil(np.log2(max(n, 1) / 60000)), 3, 12))  # leading bits that name a block
     low = WIDTH - top
 
     def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,8 +196,11 @@ def near_edges(nodes: DataFrame, n: int, tau: int = TAU, check_tau: int = CHECK_
                     continue
                 v = values(fp, g) >> low
                 for mask in ball(top, min(limits[i], top)):
-                    block = (v ^ mask).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array((block * PARTITIONS + i).astype(np.int32)), pa.array(np.full(len(fp), bin(mask).count("1"), np.int32)), b.column(0), b.column(1), b.column(2), b.column(3)], names=["block", "far", "node", "fp", "c1", "c2"])
+                    # of two blocks that are close, only the rows of the lesser one visit the other
+                    go = np.flatnonzero((v ^ mask) >= v)
+                    block = ((v ^ mask)[go] * PARTITIONS + i).astype(np.int32)
+                    sent = b.take(pa.array(go))
+                    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(np.full(len(go), bin(mask).count("1"), np.int32)), *sent.columns], names=["block", "far", "node", "fp", "c1", "c2"])
 
     def verify(table: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -227,8 +230,9 @@ def near_edges(nodes: DataFrame, n: int, tau: int = TAU, check_tau: int = CHECK_
                     c = count[at:to]
                     qq = np.repeat(q[at:to], c)
                     xx = native[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[at:to], c)]
-                    ok = col["node"][qq] < col["node"][xx]
-                    qq, xx = qq[ok], xx[ok]
+                    if not far:
+                        ok = col["node"][qq] < col["node"][xx]
+                        qq, xx = qq[ok], xx[ok]
                     ok = _popcount(fp[qq] ^ fp[xx]) <= tau
                     qq, xx = qq[ok], xx[ok]
                     ok = (_popcount(c1[qq] ^ c1[xx]).astype(np.int64) + _popcount(c2[qq] ^ c2[xx])) <= check_tau
