@@ -15,37 +15,37 @@ CUES = r"(?iuU)\b(?:currently|this year|recently|at this time|as of now|today|cu
 _DATE = "struct<raw:string,date:date>"
 
 
-def clamped_date(y: Column, m: Column, d: Column) -> Column:
-    """The date with its day cut to the month's length; null for a year or day 0 or a month out of range."""
-    ok = (y >= 1) & (m >= 1) & (m <= 12) & (d >= 1)
-    first = F.when(ok, F.make_date(F.when(ok, y), F.when(ok, m), F.lit(1)))
-    return F.date_add(first, F.least(d, F.day(F.last_day(first))) - 1)
+def _hits(c: Column, pattern: str, year: int, month, day) -> Column:
+    """array<struct<raw, y, m, d>> of a pattern's matches; month and day take a function of the pattern's groups."""
 
-
-def _hits(c: Column, pattern: str, build) -> Column:
     def one(raw: Column) -> Column:
-        part = lambda k: F.regexp_extract(raw, pattern, k)
-        return F.struct(raw.alias("raw"), build(part).alias("date"))
+        part = lambda k: F.nullif(F.regexp_extract(raw, pattern, k), F.lit(""))
+        return F.struct(raw.alias("raw"), part(year).cast("int").alias("y"), month(part).cast("int").alias("m"), day(part).cast("int").alias("d"))
 
     return F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), one)
 
 
 def dates(c: Column | str) -> Column:
-    """array<struct<raw, date>>: ISO dates, quarters, fiscal years, then months, each distinct in lower case and date."""
+    """array<struct<raw, date>>: ISO dates, quarters, fiscal years, then months, each distinct in lower case and date.
+
+    A day is cut to its month's length; a year or day 0 or a month out of
+    range makes no date. A quarter means the first of its last month.
+    """
     c = F.col(c) if isinstance(c, str) else c
-    n = lambda x: F.nullif(x, F.lit("")).cast("int")
-    names = "janfebmaraprmayjunjulaugsepoctnovdec"
-    month = lambda x: (F.floor((F.instr(F.lit(names), F.lower(F.substring(x, 1, 3))) - 1) / 3) + 1).cast("int")
+    names = F.lit("janfebmaraprmayjunjulaugsepoctnovdec")
+    first_day = lambda p: F.lit(1)
     found = F.concat(
-        _hits(c, ISO, lambda p: clamped_date(n(p(1)), n(p(2)), n(p(3)))),
-        _hits(c, QUARTER, lambda p: clamped_date(n(p(2)), n(p(1)) * 3, F.lit(1))),
-        _hits(c, FISCAL, lambda p: clamped_date(n(p(1)), F.lit(12), F.lit(1))),
-        _hits(c, MONTH, lambda p: clamped_date(n(p(3)), month(p(1)), F.coalesce(n(p(2)), F.lit(1)))),
+        _hits(c, ISO, 1, lambda p: p(2), lambda p: p(3)),
+        _hits(c, QUARTER, 2, lambda p: p(1).cast("int") * 3, first_day),
+        _hits(c, FISCAL, 1, lambda p: F.lit(12), first_day),
+        _hits(c, MONTH, 3, lambda p: F.floor((F.instr(names, F.lower(F.substring(p(1), 1, 3))) - 1) / 3) + 1, lambda p: F.coalesce(p(2), F.lit("1"))),
     )
-    valid = F.filter(found, lambda x: x["date"].isNotNull())
+    valid = F.filter(found, lambda x: (x["y"] >= 1) & x["m"].between(1, 12) & (x["d"] >= 1))
+    begun = F.transform(valid, lambda x: F.struct(x["raw"].alias("raw"), F.make_date(x["y"], x["m"], F.lit(1)).alias("first"), x["d"].alias("d")))
+    whole = F.transform(begun, lambda x: F.struct(x["raw"].alias("raw"), F.date_add(x["first"], F.least(x["d"], F.day(F.last_day(x["first"]))) - 1).alias("date")))
     # the first of each (lower-case text, date) keeps its own spelling
     return F.aggregate(
-        valid,
+        whole,
         F.array().cast(f"array<{_DATE}>"),
         lambda acc, x: F.when(F.exists(acc, lambda a: (F.lower(a["raw"]) == F.lower(x["raw"])) & (a["date"] == x["date"])), acc).otherwise(F.concat(acc, F.array(x))),
     )

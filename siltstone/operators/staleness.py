@@ -19,26 +19,24 @@ def signals(chunks: DataFrame, text: str = "text") -> DataFrame:
     return chunks.withColumns({"dates": D.dates(text), "cues": D.sorted_hits(text, D.CUES), "versions": D.sorted_hits(text, D.VERSION)})
 
 
-def content_assessment(now: Column) -> tuple[Column, Column, Column]:
-    """(score, confidence, newest date) of the columns dates, cues and versions; the first two are null without a signal."""
-    n = F.size("dates")
-    newest = F.array_max(F.transform("dates", lambda d: d["date"]))
-    age = lambda d: D.age_score(D.whole_months(d, now))
-    ratio = F.size(F.filter("dates", lambda d: age(d["date"]) >= STALE)) / F.nullif(n, F.lit(0))
-    cue, ver = F.size("cues") > 0, F.size("versions") > 0
+def content_assessment(found: DataFrame, now: Column) -> DataFrame:
+    """found (dates, cues, versions) with text_score, confidence and text_date; the first two are null without a signal."""
+    age = lambda d: D.age_score(D.whole_months(d["date"], now))
+    cue, ver, n, s = F.size("cues") > 0, F.size("versions") > 0, F.col("n_dates"), F.col("s")
     cap = lambda x: F.least(x, F.lit(1.0))
-    score = age(newest)
-    score = F.when((ratio >= 0.75) & (score >= STALE), cap(score + F.least(F.lit(0.2), 0.08 * (n - 1)))).otherwise(score)
-    score = F.when(cue & (score >= 0.5), cap(score + 0.1)).otherwise(score)
-    score = F.when(ver & (score >= 0.5), cap(score + 0.05)).otherwise(score)
-    sure = F.lit(0.55) + F.least(F.lit(0.24), 0.14 * (n - 1)) + F.when(ratio >= 0.75, 0.12).otherwise(0.0) + F.when(cue, 0.05).otherwise(0.0) + F.when(ver, 0.03).otherwise(0.0)
-    sure = F.round(F.least(sure, F.lit(0.95)), 3)
+    # a column a step: each reads the sum so far, and none is written out twice
+    out = found.withColumns({"n_dates": F.size("dates"), "ages": F.transform("dates", age), "text_date": F.array_max(F.transform("dates", lambda d: d["date"]))})
+    out = out.withColumns({"s": F.array_min("ages"), "old": F.size(F.filter("ages", lambda x: x >= STALE)) >= 0.75 * n})
+    out = out.withColumn("s", F.when(F.col("old") & (s >= STALE), cap(s + F.least(F.lit(0.2), 0.08 * (n - 1)))).otherwise(s))
+    out = out.withColumn("s", F.when(cue & (s >= 0.5), cap(s + 0.1)).otherwise(s))
+    out = out.withColumn("s", F.when(ver & (s >= 0.5), cap(s + 0.05)).otherwise(s))
+    sure = F.lit(0.55) + F.least(F.lit(0.24), 0.14 * (n - 1)) + F.when(F.col("old"), 0.12).otherwise(0.0) + F.when(cue, 0.05).otherwise(0.0) + F.when(ver, 0.03).otherwise(0.0)
     none = n == 0
-    return (
-        F.when(none & cue & ver, 0.65).when(none & cue, 0.6).when(none & ver, 0.4).when(~none, score),
-        F.when(none & cue & ver, 0.6).when(none & cue, 0.55).when(none & ver, 0.5).when(~none, sure),
-        newest,
-    )
+    out = out.withColumns({
+        "text_score": F.when(none & cue & ver, 0.65).when(none & cue, 0.6).when(none & ver, 0.4).when(~none, s),
+        "confidence": F.when(none & cue & ver, 0.6).when(none & cue, 0.55).when(none & ver, 0.5).when(~none, F.round(F.least(sure, F.lit(0.95)), 3)),
+    })
+    return out.drop("n_dates", "ages", "s", "old")
 
 
 def metadata_dates(chunks: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -57,8 +55,7 @@ def metadata_dates(chunks: DataFrame, documents: DataFrame | None = None) -> Dat
 def assess(chunks: DataFrame, now: datetime, meta_weight: float = META_WEIGHT, text_weight: float = TEXT_WEIGHT) -> DataFrame:
     """chunks (text, created_at, modified_at) with score, meta_score, text_score, confidence and reference_date."""
     today = F.lit(now).cast("timestamp")
-    text_score, sure, text_date = content_assessment(today)
-    found = signals(chunks).withColumns({"text_score": text_score, "confidence": sure, "text_date": text_date, "meta_date": F.greatest("created_at", "modified_at")})
+    found = content_assessment(signals(chunks), today).withColumn("meta_date", F.greatest("created_at", "modified_at"))
     found = found.withColumn("meta_score", F.when(F.col("meta_date").isNotNull(), D.age_score(D.whole_months(F.col("meta_date"), today))))
     both = F.greatest(meta_weight * F.col("meta_score") + text_weight * F.col("text_score"), F.col("text_score") * F.col("confidence"))
     score = F.when(F.col("meta_score").isNotNull() & F.col("text_score").isNotNull(), both).otherwise(F.coalesce("meta_score", "text_score", F.lit(0.5)))
