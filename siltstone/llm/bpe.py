@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import ID, TEXT
+from .rows import ID, TEXT, small_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -133,7 +133,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = ID, text
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int32(), mask=missing[:-1]), lists, pa.array(exact, pa.bool_())], names=["doc_id", "n_tokens", "tokens", "exact"])
 
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.IntegerType())), T.StructField("exact", T.BooleanType())])
-    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(run, out)
+    return small_batches(docs).select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(run, out)
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = ID, tokens_col: str = "tokens") -> DataFrame:
@@ -151,4 +151,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY, id_col: str = ID, t
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_of(c, k) for k in b.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     out = T.StructType([T.StructField("doc_id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
-    return encoded.select(encoded[id_col].alias("i"), F.col(tokens_col).cast("array<int>").alias("k")).mapInArrow(run, out)
+    return small_batches(encoded).select(encoded[id_col].alias("i"), F.col(tokens_col).cast("array<int>").alias("k")).mapInArrow(run, out)

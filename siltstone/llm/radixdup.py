@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .rows import ID, TEXT
+from .rows import ID, TEXT, small_batches
 from .textvec import utf8
 
 RANGE_BYTES, MOST_RANGES = 32 << 20, 4000
@@ -112,7 +112,7 @@ def split_points(texts: DataFrame, range_bytes: int = RANGE_BYTES) -> list[bytes
 
 def _columns(docs: DataFrame) -> tuple[DataFrame, T.StructType]:
     """docs with columns c0, c1, ..., and their types."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     return plain, T.StructType([T.StructField(f.name, f.dataType, True) for f in plain.schema])
 
 
@@ -159,7 +159,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEX
 def exact_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """(doc_id, keep_id, copies) of each row whose text another row has; keep_id is the least id that is not null."""
     kind = docs.schema[id_col].dataType
-    pair = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t"))
+    pair = small_batches(docs).select(docs[id_col].alias("i"), docs[text_col].alias("t"))
     cuts = split_points(pair.select("t"), range_bytes)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

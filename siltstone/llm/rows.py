@@ -2,12 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ID, TEXT = "doc_id", "text"
 
 
+def _lean_memory() -> None:
+    """Lets workers, which Spark uses again and again, return what large arrays took."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 16 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):
+        pass  # another C library; memory is kept for later tasks
+
+
+_lean_memory()
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session sends Python at most 2000 rows at once where the default of 10000 hasn't been changed."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(df.sparkSession.conf.get(key, "10000")) == 10000:
+        df.sparkSession.conf.set(key, "2000")
+    return df
+
+
 def row_key(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> list[Column]:
     """A row's identity: its id and a hash of its text, so that equal ids with other texts stay apart."""
     return [df[id_col].alias("rk_id"), F.xxhash64(df[text_col]).alias("rk_hash")]

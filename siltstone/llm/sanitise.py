@@ -12,8 +12,8 @@ the information content of e,
 which is 1 where t never occurs without e. In texts that hold e, terms from
 ``generalise`` on become the name of their class and terms from ``remove`` on
 are deleted, given that e and t occur together in at least ``support``
-contexts. A context is a text's least hashed word, so that copies and near
-copies of one text are one piece of evidence, not many.
+contexts. A context is a text's least hashed run of three words, so that
+copies and near copies of one text are one piece of evidence, not many.
 
 Texts without an entity stay as they are, as do null and empty ones. Repeated
 rows are treated alike. An empty table gives an empty result. Columns of any
@@ -36,14 +36,14 @@ from pyspark.sql import types as T
 from siltstone.operators.lineage import materialise
 
 from . import textvec
-from .rows import ID, TEXT
+from .rows import ID, TEXT, small_batches
 
 SUPPORT, GENERALISE, REMOVE = 5, 0.7, 0.9
 _HINT = "[@0-9]"
 _KINDS = re.compile(
     r"""(?P<EMAIL>(?<![\w.%+-])[\w.%+-]+@\w[\w-]*(?:\.[\w-]+)+)
     |(?P<SECRET>(?:(?i:token|secret|passw(?:or)?d|api[_-]?key)\s*[:=]\s*["']?(?P<value>[\w+/=-]{16,}))|(?<!\w)[0-9a-fA-F]{32,64}(?!\w))
-    |(?P<IBAN>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?!\w))
+    |(?P<IBAN>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
     |(?P<PHONE>(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))
     |(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
     |(?P<IP>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))
@@ -97,12 +97,8 @@ def _masked(text: str, found: list[tuple[int, int, str, str]]) -> str:
 
 
 def contexts(texts: pa.Array) -> np.ndarray:
-    """The least hashed word of each text, 0 for a wordless one."""
-    h, row, _, _ = textvec.words(texts)
-    out = np.full(len(texts), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(out, row, textvec.mix(h + np.uint64(17)))
-    out[np.bincount(row, minlength=len(texts)) == 0] = 0
-    return out.view(np.int64)
+    """The context of each text as a signed number."""
+    return textvec.contexts(texts, 17).view(np.int64)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +206,7 @@ def _keys(text):
 
 def _sanitised(docs: DataFrame, text_col: str, support: int, generalise: float, remove: float) -> tuple[DataFrame, DataFrame, T.StructType]:
     """Rows without a hint of an entity, and the rewritten others; both with columns c0, c1, ... and three counts."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{docs.columns.index(text_col)}"
     hint = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
     found = materialise(plain.where(hint).select(*_keys(F.col(text)), F.col(text).alias("x")).mapInArrow(_find, "k1 bigint, k2 bigint, e bigint, ctx bigint"), "entities")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from siltstone.operators.lineage import materialise
 
-from .rows import ID, TEXT
+from .rows import ID, TEXT, small_batches
 
 REACH, STRONG_BITS, STRONG_LENGTH = 200, 3.0, 20
 _HINT = r"(?i)token|secret|passw|pwd|key|auth|user|login|account|client|akia|asia|ghp_|gho_|sk_|sk-|xox|://|host|endpoint|[0-9a-z/+]{32}|[0-9]\.[0-9]{1,3}\.[0-9]"
@@ -86,7 +86,7 @@ def linked_secrets(docs: DataFrame, reach: int = REACH, id_col: str = ID, text_c
     start and stop are in characters; the last three count the parts it is
     linked to; the value itself is not returned.
     """
-    keyed = docs.select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("k1"), F.xxhash64(F.lit(7), docs[text_col]).alias("k2"), docs[text_col].alias("t")).where(F.col("t").rlike(_HINT))
+    keyed = small_batches(docs).select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("k1"), F.xxhash64(F.lit(7), docs[text_col]).alias("k2"), docs[text_col].alias("t")).where(F.col("t").rlike(_HINT))
     found = keyed.select("k1", "k2", "t").mapInArrow(_scan, "k1 bigint, k2 bigint, kind string, strong boolean, start int, stop int, scope int, value string")
     found = materialise(found.distinct().select("*", F.sha2("value", 256).alias("value_hash")).drop("value"), "candidates")
 

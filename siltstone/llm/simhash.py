@@ -29,7 +29,7 @@ from siltstone.operators.components import connected_components, forest
 from siltstone.operators.lineage import materialise
 
 from . import textvec
-from .rows import ID, TEXT, keep_rows, row_key
+from .rows import ID, TEXT, keep_rows, row_key, small_batches
 
 TAU, CHECK_TAU, PARTITIONS, WIDTH = 10, 26, 4, 16
 _SLICE = 200
@@ -85,7 +85,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """(rk_id, rk_hash, fp, c1, c2) of each row whose text has a word."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(*row_key(docs, id_col, text_col), docs[text_col].alias("t")).mapInArrow(_fingerprints, f"rk_id {kind}, rk_hash bigint, fp bigint, c1 bigint, c2 bigint")
+    return small_batches(docs).select(*row_key(docs, id_col, text_col), docs[text_col].alias("t")).mapInArrow(_fingerprints, f"rk_id {kind}, rk_hash bigint, fp bigint, c1 bigint, c2 bigint")
 
 
 def bits(fp: np.ndarray) -> np.ndarray:

@@ -120,3 +120,21 @@ def distinct(h: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     return h[at], row[at], np.diff(np.append(at, len(h)))
+
+
+def contexts(texts: pa.Array, seed: int) -> np.ndarray:
+    """The least hashed run of three words of each text (of shorter texts, the hash of their words), 0 for a wordless one.
+
+    Near copies mostly share it, other texts hardly ever do.
+    """
+    h, row, _, _ = words(texts)
+    n = len(texts)
+    count = np.bincount(row, minlength=n)
+    out = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    few = count[row] < 3
+    with np.errstate(over="ignore"):
+        short = np.zeros(n, np.uint64)
+        np.add.at(short, row[few], mix(h[few] + np.uint64(seed)))
+    h3, row3 = shingles(h, row, 3)
+    np.minimum.at(out, row3, mix(h3 + np.uint64(seed)))
+    return np.where(count >= 3, out, short)

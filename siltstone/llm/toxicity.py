@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textvec
-from .rows import ID, TEXT
+from .rows import ID, TEXT, small_batches
 
-SAMPLE, LEAST_Z, LEAST_DOCS, MOST_WORD = 2000, 5.0, 4, 24
-WINDOW_RATE, REJECT_RATE = 1e-5, 0.004
-_LEVEL, _DICT, _SLICE = 9, 4096, 1000
+SAMPLE, LEAST_Z, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_WORD = 2000, 4.0, 3, 0.01, 8.0, 24
+WINDOW_RATE, REJECT_RATE = 0.002, 0.004
+_LEVEL, _DICT, _SLICE, _OF_USUAL = 9, 4096, 250, 0.4
 
 
 @dataclass
@@ -111,16 +111,25 @@ def _bags(texts: list[str]) -> Iterator[Counter]:
         yield Counter(view[a:b] for a, b in zip(start.tolist(), end.tolist()))
 
 
+def _apart(texts: list[str]) -> list[str]:
+    """One text for each context, so that a text and its near copies are one piece of evidence; wordless ones go."""
+    out: dict[int, str] = {}
+    for t in texts:
+        if c := int(textvec.contexts(pc.utf8_lower(pa.array([t])), 29)[0]):
+            out.setdefault(c, t)
+    return list(out.values())
+
+
 def train(toxic: list[str], ordinary: list[str], window_rate: float = WINDOW_RATE, reject_rate: float = REJECT_RATE) -> Model:
     """A model from texts of both kinds; every second ordinary text only calibrates."""
-    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary) - set(toxic))
+    toxic, ordinary = _apart(sorted(set(toxic))), _apart(sorted(set(ordinary) - set(toxic)))
     seen, unseen = ordinary[::2], ordinary[1::2]
     if not toxic or not seen or not unseen:
         return Model()
     bad: Counter = Counter()
     for bag in _bags(toxic):
         bad.update(bag.keys())
-    bad = Counter({w: n for w, n in bad.items() if n >= LEAST_DOCS and 3 <= len(w) <= MOST_WORD})
+    bad = Counter({w: n for w, n in bad.items() if n >= max(LEAST_DOCS, LEAST_SHARE * len(toxic)) and 3 <= len(w) <= MOST_WORD})
     good: Counter = Counter()
     samples: list[bytes] = []
     for k, bag in enumerate(_bags(seen)):
@@ -132,7 +141,7 @@ def train(toxic: list[str], ordinary: list[str], window_rate: float = WINDOW_RAT
         p = (bad[w] + good[w]) / (nt + no)
         return (bad[w] / nt - good[w] / no) / math.sqrt(p * (1 - p) * (1 / nt + 1 / no)) if 0 < p < 1 else 0.0
 
-    marked = sorted((w for w in bad if z(w) > LEAST_Z), key=lambda w: (z(w), w))
+    marked = sorted((w for w in bad if z(w) > LEAST_Z and bad[w] / nt > LEAST_RATIO * (good[w] + 0.5) / no), key=lambda w: (z(w), w))
     if not marked or len(samples) < 100:
         return Model()
     model = Model(zstandard.train_dictionary(_DICT, samples, d=6, k=40, steps=1).as_bytes(), b"".join(map(window, marked)))
@@ -141,25 +150,24 @@ def train(toxic: list[str], ordinary: list[str], window_rate: float = WINDOW_RAT
     vocabulary = sorted({w for bag in bags for w in bag if w})
     a, b = judge.lengths(vocabulary)
     shorter = dict(zip((w for w, x, y in zip(vocabulary, a, b) if y < x), (int(y) for x, y in zip(a, b) if y < x)))
-    total = sum(bag[b""] for bag in bags)
+    # ordinary texts with a window of each size and length; a text counts once for a window that it repeats
     at: list[Counter] = [Counter() for _ in range(MOST_WORD + 1)]
     for bag in bags:
-        for w, n in bag.items():
+        for w in bag:
             if w in shorter:
-                at[len(w)][shorter[w]] += n
+                at[len(w)][shorter[w]] += 1
     for size in range(3, MOST_WORD + 1):
-        full = judge.lengths([w for w in marked if len(w) == size])[1]
-        floor = int(full.max()) if len(full) else 0
-        k, so_far = floor, sum(n for c, n in at[size].items() if c <= floor)
-        for c in range(floor + 1, floor + 8):
-            so_far += at[size][c]
-            if so_far > window_rate * total:
+        full = sorted(judge.lengths([w for w in marked if len(w) == size])[1].tolist())
+        for c in sorted(set(full)):
+            if sum(n for k, n in at[size].items() if k <= c) > window_rate * len(bags) and c > full[0]:
                 break
-            k = c
-        model.longest[size] = k if floor else 0
+            model.longest[size] = c
     shares = sorted((sum(n for w, n in bag.items() if w in shorter and shorter[w] <= model.longest[len(w)]) / max(bag[b""], 1) for bag in bags), reverse=True)
     worst = shares[min(int(reject_rate * len(shares)), len(shares) - 1)]
-    model.share = max(worst * (1 + 1e-9) + 1e-12, 0.001)
+    # chance hits are rare even where toxic texts have many, so the share also stays within reach of theirs
+    words, hits = (np.concatenate(x) for x in zip(*(judge.counts(pa.array(toxic[i : i + _SLICE])) for i in range(0, len(toxic), _SLICE))))
+    usual = (hits / np.maximum(words, 1))[hits > 0]
+    model.share = max(worst * (1 + 1e-9) + 1e-12, _OF_USUAL * float(np.quantile(usual, 0.05)) if len(usual) else 0.001)
     return model
 
 
@@ -198,11 +206,11 @@ def _judged(model: Model, text: int, keep: bool):
 def score(docs: DataFrame, model: Model, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """(doc_id, words, hits, toxic) of every row."""
     out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("words", T.LongType()), T.StructField("hits", T.LongType()), T.StructField("toxic", T.BooleanType())])
-    return docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(_judged(model, 1, False), out)
+    return small_batches(docs).select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(_judged(model, 1, False), out)
 
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = TEXT) -> DataFrame:
     """docs without the rows of toxic texts."""
     names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(names))])
     return plain.mapInArrow(_judged(model, names.index(text_col), True), plain.schema).toDF(*names)
