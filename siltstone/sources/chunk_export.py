@@ -68,10 +68,10 @@ def normalise(rows: DataFrame) -> DataFrame:
 def read_json(spark: SparkSession, path: str) -> DataFrame:
     """(ordinal, m) of a JSON array of objects, or of an object with one under chunks, data, items or results."""
     text = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
-    objects = "array<map<string,string>>"
-    keys = [F.from_json(F.get_json_object("j", f"$.{k}"), objects) for k in ("chunks", "data", "items", "results")]
-    rows = F.coalesce(F.when(F.ltrim("j").startswith("["), F.from_json("j", objects)), *keys)
-    found = text.select(F.posexplode(rows).alias("ordinal", "m")).where("m IS NOT NULL")
+    listed = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>"))
+    rows = F.coalesce(listed(F.col("j")), *(listed(F.get_json_object("j", f"$.{k}")) for k in ("chunks", "data", "items", "results")))
+    objects = F.filter(rows, lambda x: F.ltrim(x).startswith("{"))
+    found = text.select(F.posexplode(objects).alias("ordinal", "o")).select("ordinal", F.from_json("o", "map<string,string>").alias("m")).where("m IS NOT NULL")
     return found.withColumn("ordinal", F.col("ordinal").cast("long"))
 
 

