@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions import dates as D
 from siltstone.functions import text as X
 from siltstone.operators import chunker, contradiction, duplication, metadata, rot, scoring, similarity, staleness, validation
+from siltstone.operators.lineage import materialise
 from siltstone.sources import chunk_export, documents
 
 from . import audit as A
@@ -185,12 +186,12 @@ def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     t = _table(spark, sf_dir, "documents").select(F.col("doc_id"), "text")
     least = t.groupBy("text").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
     pairs = t.join(least, "text").where("doc_id > low").select(F.col("low").cast("string").alias("left_id"), F.col("doc_id").cast("string").alias("right_id"), F.lit(1.0).alias("score"), F.lit("new_vs_new").alias("scope"), F.lit("exact").alias("severity"))
-    dup = duplication.findings(pairs, chunks)
+    dup = materialise(duplication.findings(pairs, chunks), "query-duplicates")
     aged = staleness.assess(chunks.withColumns({"created_at": F.lit(None).cast("timestamp"), "modified_at": F.lit(None).cast("timestamp")}), NOW)
-    stale = staleness.findings(aged)
+    stale = materialise(staleness.findings(aged), "query-stale")
     docs = _documents(spark, sf_dir)
     none = spark.createDataFrame([], "document_id string, finding_id string")
-    return chunks, dup, stale, rot.classify(docs, chunks, dup, stale, none, none, metadata.assess(docs))
+    return chunks, dup, stale, materialise(rot.classify(docs, chunks, dup, stale, none, none, metadata.assess(docs)), "query-rot")
 
 
 def rot_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
