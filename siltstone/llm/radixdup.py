@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .rows import ID, TEXT, small_batches
 from .textvec import utf8
 
-RANGE_BYTES, MOST_RANGES = 32 << 20, 4000
+RANGE_BYTES, MOST_RANGES = 16 << 20, 4000
 
 
 def equal_groups(texts: pa.Array) -> np.ndarray:

@@ -147,7 +147,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, row, _, _ = textvec.words(whole.column(0).slice(at, 500))
             h, _, _ = textvec.distinct(h, row)
             held.append(h)
-            if sum(map(len, held)) > 4_000_000:
+            if sum(map(len, held)) > 1_000_000:
                 keys, counts = merged()
                 held = []
     keys, counts = merged()

@@ -225,8 +225,8 @@ def near_edges(nodes: DataFrame, n: int, tau: int = TAU, check_tau: int = CHECK_
                 begin, count = first[aim], first[aim + 1] - first[aim]
                 sums = np.cumsum(count)
                 at = 0
-                while at < len(q):  # as many queries as give a few million candidates
-                    to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + 2_000_000, side="right")))
+                while at < len(q):  # as many queries as give half a million candidates
+                    to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + 500_000, side="right")))
                     c = count[at:to]
                     qq = np.repeat(q[at:to], c)
                     xx = native[np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(begin[at:to], c)]
