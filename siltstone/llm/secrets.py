@@ -11,7 +11,8 @@ characters, each pair in the first bin that both touch.
 
 Null and empty texts have no candidates. Rows that repeat an id and a text are
 reported once. Of candidates that overlap, the first in the text wins, and of
-those the one whose pattern comes first. Texts of any length are scanned
+those the one whose pattern comes first; but within a URL its user-info, tokens
+of a known prefix and telling parameters are candidates too. Texts of any length are scanned
 whole. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -31,7 +32,7 @@ from siltstone.operators.lineage import materialise
 from .rows import ID, TEXT, small_batches
 
 REACH, STRONG_BITS, STRONG_LENGTH = 200, 3.0, 20
-_HINT = r"(?i)token|secret|passw|pwd|key|auth|user|login|account|client|akia|asia|ghp_|gho_|sk_|sk-|xox|://|host|endpoint|[0-9a-z/+]{32}|[0-9]\.[0-9]{1,3}\.[0-9]"
+_HINT = r"(?i)token|secret|passw|pwd|key|auth|user|login|account|client|akia|asia|aiza|glpat-|ghp_|gho_|sk_|sk-|xox|://|host|endpoint|[0-9a-z/+]{32}|[0-9]\.[0-9]{1,3}\.[0-9]"
 _PATTERNS = re.compile(
     r"""(?P<pem>-----BEGIN\ [A-Z ]*PRIVATE\ KEY-----(?:[A-Za-z0-9+/=\s]*-----END\ [A-Z ]*PRIVATE\ KEY-----)?)
     |(?P<prefixed>(?<!\w)(?:gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{32,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|glpat-[\w-]{20}))
@@ -46,6 +47,8 @@ _PATTERNS = re.compile(
     re.VERBOSE,
 )
 _KIND = {"pem": "secret", "prefixed": "secret", "key_id": "identifier", "url": "endpoint", "assigned": "secret", "named": "identifier", "place": "endpoint", "mail": "identifier", "ip": "endpoint", "opaque": "secret"}
+_USER_INFO = re.compile(r"[a-z][a-z0-9+.-]*://(?P<user>[^\s/?#:@]*):(?P<word>[^\s/?#]+)@")
+_IN_URL = {"prefixed", "key_id", "assigned", "named"}
 _BLANK = re.compile(r"\n[ \t\r]*\n")
 
 
@@ -55,6 +58,27 @@ def entropy(value: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(value).values()) if n else 0.0
 
 
+def _strong(name: str, value: str) -> bool:
+    return name in ("pem", "prefixed") or name == "assigned" and len(value) >= STRONG_LENGTH and entropy(value) >= STRONG_BITS
+
+
+def _within_url(text: str, start: int, stop: int) -> Iterator[tuple[str, int, int]]:
+    """(pattern, start, stop) of the user-info, prefixed tokens and telling parameters of a URL, in order."""
+    at = text.index("://", start) + 3
+    if m := _USER_INFO.match(text, start, stop):
+        if m["user"]:
+            yield "named", *m.span("user")
+        yield "assigned", *m.span("word")
+        at = m.end()
+    while at < stop:  # by parts, so that a value ends where the next parameter begins
+        end = min((i for i in (text.find(c, at, stop) for c in "?&#") if i >= 0), default=stop)
+        in_query = text[at - 1] in "?&#"
+        for m in _PATTERNS.finditer(text, at, end):
+            if m.lastgroup in _IN_URL and (in_query or m.lastgroup in ("prefixed", "key_id")):
+                yield m.lastgroup, *m.span(m.lastgroup)
+        at = end + 1
+
+
 def candidates(text: str) -> list[tuple[str, bool, int, int, int]]:
     """(kind, strong, start, stop, scope) of the candidates of a text in order."""
     out, scope = [], 0
@@ -65,10 +89,11 @@ def candidates(text: str) -> list[tuple[str, bool, int, int, int]]:
         value = text[start:stop]
         if name == "ip" and any(int(x) > 255 for x in value.split(":")[0].split(".")):
             continue
-        strong = name in ("pem", "prefixed") or name == "assigned" and len(value) >= STRONG_LENGTH and entropy(value) >= STRONG_BITS
         while scope < len(blanks) and blanks[scope] <= start:
             scope += 1
-        out.append((_KIND[name], strong, start, stop, scope))
+        out.append((_KIND[name], _strong(name, value), start, stop, scope))
+        if name == "url":
+            out += [(_KIND[x], _strong(x, text[a:b]), a, b, scope) for x, a, b in _within_url(text, start, stop)]
     return out
 
 
