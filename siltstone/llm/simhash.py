@@ -252,13 +252,13 @@ def near_edges(nodes: DataFrame, n: int, tau: int = TAU, check_tau: int = CHECK_
 
 
 def _grouped(docs: DataFrame, tau: int, check_tau: int, id_col: str, text_col: str) -> DataFrame:
-    """(rk_id, rk_hash, node, group_id, keep, copies) of the fingerprinted rows."""
+    """(rk_id, rk_hash, node, component, keep_id, copies) of the fingerprinted rows."""
     fps = materialise(fingerprints(docs, id_col, text_col).withColumn("node", F.xxhash64("fp", "c1", "c2")), "fingerprints")
     nodes = materialise(fps.groupBy("node").agg(F.first("fp").alias("fp"), F.first("c1").alias("c1"), F.first("c2").alias("c2"), F.min("rk_id").alias("low"), F.count("*").alias("rows")), "nodes")
     comp = connected_components(near_edges(nodes, nodes.count(), tau, check_tau), "a", "b")
     named = nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "low", "rows")
     groups = named.groupBy("component").agg(F.min("low").alias("keep_id"), F.sum("rows").alias("copies")).where("copies > 1")
-    member = named.join(groups, "component").select("node", "keep_id", "copies")
+    member = named.join(groups, "component").select("node", "component", "keep_id", "copies")
     return fps.select("rk_id", "rk_hash", "node").join(member, "node")
 
 
@@ -275,8 +275,8 @@ def near_duplicates(docs: DataFrame, tau: int = TAU, check_tau: int = CHECK_TAU,
 def drop_near_duplicates(docs: DataFrame, tau: int = TAU, check_tau: int = CHECK_TAU, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """docs with one row left of each near-duplicate group: a row with the least id, of several the one with the least text hash."""
     g = materialise(_grouped(docs, tau, check_tau, id_col, text_col), "groups").withColumn("own", F.col("rk_id").eqNullSafe(F.col("keep_id")))
-    best = g.where("own").groupBy("keep_id").agg(F.min("rk_hash").alias("best"))
-    g = g.join(best.select(F.col("keep_id").alias("k"), "best"), F.col("keep_id").eqNullSafe(F.col("k")), "left")
+    best = g.where("own").groupBy("component").agg(F.min("rk_hash").alias("best"))
+    g = g.join(best, "component", "left")
     g = g.withColumn("stays", F.col("own") & (F.col("rk_hash") == F.col("best")))
     once = g.where("stays").groupBy("rk_id", "rk_hash").count().where("count > 1").select("rk_id", "rk_hash")
     return keep_rows(docs, g.where("NOT stays").select("rk_id", "rk_hash").distinct(), once, id_col, text_col)

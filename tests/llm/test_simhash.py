@@ -72,3 +72,11 @@ def test_odd_rows(odd, none):
     assert kept.columns == odd.columns
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept.collect()) == [-1, 1, 3, 4, 5, 6, 6, 7, 9]
     assert simhash.near_duplicates(none).count() == 0 and simhash.drop_near_duplicates(none).count() == 0
+
+
+def test_groups_of_one_least_id_keep_a_row_each(spark):
+    rng = random.Random(13)
+    a, b, c, d = (sentence(rng, 80) for _ in range(4))
+    docs = spark.createDataFrame([(1, a), (2, a), (1, b), (3, b), (None, c), (None, c), (None, d), (None, d)], "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("1", b), ("None", c), ("None", d)])
