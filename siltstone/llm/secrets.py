@@ -7,23 +7,29 @@ candidates are weak: a weak secret is reported when an identifier or an
 endpoint lies within ``reach`` characters of it in the same scope, and
 identifiers and endpoints when a secret does. Scopes are the parts of a text
 between blank lines. The parts meet in an interval join on bins of ``reach``
-characters, each pair in the first bin that both touch.
+characters, each pair in the first bin that both touch. The join runs over
+distinct texts, so that copies of a text don't meet each other. Each text is
+read once; those without anything that every candidate holds (``HINT``) are
+told apart by a faster expression first.
 
 Null and empty texts have no candidates. Rows that repeat an id and a text are
 reported once. Of candidates that overlap, the first in the text wins, and of
 those the one whose pattern comes first; but within a URL its user-info, tokens
-of a known prefix and telling parameters are candidates too. Texts of any length are scanned
-whole. An empty table gives an empty result; other columns are ignored.
+of a known prefix and telling parameters are candidates too. Very long texts are
+scanned whole. An empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,15 +38,19 @@ from siltstone.operators.lineage import materialise
 from .rows import ID, TEXT, small_batches
 
 REACH, STRONG_BITS, STRONG_LENGTH = 200, 3.0, 20
-_HINT = r"(?i)token|secret|passw|pwd|key|auth|user|login|account|client|akia|asia|aiza|glpat-|ghp_|gho_|sk_|sk-|xox|://|host|endpoint|[0-9a-z/+]{32}|[0-9]\.[0-9]{1,3}\.[0-9]"
+# what every candidate holds, in the syntax of Arrow's regular expressions, which run in time linear in the text
+HINT = (
+    r"PRIVATE KEY|gh[pousr]_|sk_live_|sk-[A-Za-z0-9]{32}|xox[abprs]-|AIza|glpat-|AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|://|@|\p{Nd}\.\p{Nd}+\.\p{Nd}|[0-9A-Za-z/+]{32}"
+    r"|(?i:token|secret|key|passwd|password|pwd|auth|user|name|id|login|account|host|endpoint|server|url)[\s\x0b\x1c-\x1f\x{85}\p{Z}]{0,3}[:=]"
+)
 _PATTERNS = re.compile(
     r"""(?P<pem>-----BEGIN\ [A-Z ]*PRIVATE\ KEY-----(?:[A-Za-z0-9+/=\s]*-----END\ [A-Z ]*PRIVATE\ KEY-----)?)
     |(?P<prefixed>(?<!\w)(?:gh[pousr]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,}|sk-[A-Za-z0-9]{32,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[\w-]{35}|glpat-[\w-]{20}))
     |(?P<key_id>(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w))
     |(?P<url>(?<!\w)[a-z][a-z0-9+.-]{1,15}://[^\s"'<>|]{3,})
-    |(?i:(?<![^\W_])(?:token|secret(?:[_-]?key)?|secret[_-]?access[_-]?key|passw(?:or)?d|pwd|api[_-]?key|auth(?:[_-]?token)?|access[_-]?token|private[_-]?key))\s{0,3}[:=]\s{0,3}["']?(?P<assigned>[^\s"'|,;]{8,})
-    |(?i:(?<![^\W_])(?:user(?:[_-]?(?:name|id))?|login|account(?:[_-]?(?:name|id))?|client[_-]?id|app[_-]?id|access[_-]?key(?:[_-]?id)?|tenant(?:[_-]?id)?))\s{0,3}[:=]\s{0,3}["']?(?P<named>[\w.@+-]{3,})
-    |(?i:(?<![^\W_])(?:host(?:name)?|endpoint|server|base[_-]?url))\s{0,3}[:=]\s{0,3}["']?(?P<place>[\w.:/-]{3,})
+    |(?<![^\W_])(?ai:(?:token|secret(?:[_-]?key)?|secret[_-]?access[_-]?key|passw(?:or)?d|pwd|api[_-]?key|auth(?:[_-]?token)?|access[_-]?token|private[_-]?key))\s{0,3}[:=]\s{0,3}["']?(?P<assigned>[^\s"'|,;]{8,})
+    |(?<![^\W_])(?ai:(?:user(?:[_-]?(?:name|id))?|login|account(?:[_-]?(?:name|id))?|client[_-]?id|app[_-]?id|access[_-]?key(?:[_-]?id)?|tenant(?:[_-]?id)?))\s{0,3}[:=]\s{0,3}["']?(?P<named>[\w.@+-]{3,})
+    |(?<![^\W_])(?ai:(?:host(?:name)?|endpoint|server|base[_-]?url))\s{0,3}[:=]\s{0,3}["']?(?P<place>[\w.:/-]{3,})
     |(?P<mail>(?<![\w.%+-])[\w.%+-]+@\w[\w-]*(?:\.[\w-]+)+)
     |(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?::\d{1,5})?(?![\w]|\.\d))
     |(?P<opaque>(?<![\w/+])(?:[0-9a-fA-F]{32,}|(?=[A-Za-z0-9/+]*\d)(?=[A-Za-z0-9/+]*[A-Z])(?=[A-Za-z0-9/+]*[a-z])[A-Za-z0-9/+]{40,}={0,2})(?![\w/+]))""",
@@ -98,11 +108,15 @@ def candidates(text: str) -> list[tuple[str, bool, int, int, int]]:
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, k1, k2, text) -> a row for each candidate; of its value the SHA-256 only."""
     for b in batches:
-        rows = [(a, c, *x, t[x[2] : x[3]]) for a, c, t in zip(*(b.column(i).to_pylist() for i in range(3))) for x in candidates(t)]
-        cols = list(zip(*rows)) or [()] * 8
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["k1", "k2", "kind", "strong", "start", "stop", "scope", "value"])
+        b = b.filter(pc.fill_null(pc.match_substring_regex(b.column(3), HINT), False))
+        found = [candidates(t) for t in b.column(3).to_pylist()]
+        owner = pa.array([i for i, x in enumerate(found) for _ in x], pa.int64())
+        flat = [(*x, hashlib.sha256(t[x[2] : x[3]].encode("utf-8", "surrogatepass")).hexdigest()) for t, f in zip(b.column(3).to_pylist(), found) for x in f]
+        cols = list(zip(*flat)) or [()] * 6
+        kinds = [pa.string(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+        yield pa.RecordBatch.from_arrays([*(b.column(i).take(owner) for i in range(3)), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["doc_id", "k1", "k2", "kind", "strong", "start", "stop", "scope", "value_hash"])
 
 
 def linked_secrets(docs: DataFrame, reach: int = REACH, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -111,9 +125,11 @@ def linked_secrets(docs: DataFrame, reach: int = REACH, id_col: str = ID, text_c
     start and stop are in characters; the last three count the parts it is
     linked to; the value itself is not returned.
     """
-    keyed = small_batches(docs).select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("k1"), F.xxhash64(F.lit(7), docs[text_col]).alias("k2"), docs[text_col].alias("t")).where(F.col("t").rlike(_HINT))
-    found = keyed.select("k1", "k2", "t").mapInArrow(_scan, "k1 bigint, k2 bigint, kind string, strong boolean, start int, stop int, scope int, value string")
-    found = materialise(found.distinct().select("*", F.sha2("value", 256).alias("value_hash")).drop("value"), "candidates")
+    name = docs.schema[id_col].dataType.simpleString()
+    keyed = small_batches(docs).select(docs[id_col].alias("doc_id"), F.xxhash64(docs[text_col]).alias("k1"), F.xxhash64(F.lit(7), docs[text_col]).alias("k2"), docs[text_col].alias("t")).where("t <> ''")
+    scanned = keyed.mapInArrow(_scan, f"doc_id {name}, k1 bigint, k2 bigint, kind string, strong boolean, start int, stop int, scope int, value_hash string")
+    scanned = materialise(scanned.distinct(), "candidates")
+    found = scanned.drop("doc_id", "value_hash", "strong").distinct()
 
     def binned(side: DataFrame, name: str, first: str, last: str) -> DataFrame:
         cols = [F.col(c).alias(f"{name}_{c}") for c in ("kind", "start", "stop")]
@@ -126,6 +142,5 @@ def linked_secrets(docs: DataFrame, reach: int = REACH, id_col: str = ID, text_c
     pairs = pairs.select("k1", "k2", F.explode(F.array(*(F.struct(F.col(f"{x}_kind").alias("kind"), F.col(f"{x}_start").alias("start"), F.col(f"{y}_kind").alias("other")) for x, y in ("ab", "ba")))).alias("x")).select("k1", "k2", "x.*")
     links = pairs.groupBy("k1", "k2", "kind", "start").agg(*(F.count_if(F.col("other") == k).alias(f"{k}s") for k in ("identifier", "secret", "endpoint")))
     counts = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("identifiers", "secrets", "endpoints")]
-    reported = found.join(links, ["k1", "k2", "kind", "start"], "left").where("strong OR identifiers + secrets + endpoints > 0")
-    reported = reported.select("k1", "k2", "kind", "strong", "start", "stop", "value_hash", *counts)
-    return keyed.select("doc_id", "k1", "k2").distinct().join(reported, ["k1", "k2"]).drop("k1", "k2")
+    reported = scanned.join(links, ["k1", "k2", "kind", "start"], "left").where("strong OR identifiers + secrets + endpoints > 0")
+    return reported.select("doc_id", "kind", "strong", "start", "stop", "value_hash", *counts)
