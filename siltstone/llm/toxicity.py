@@ -1,28 +1,32 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are made from labelled texts: one trained by the
-library's own trainer on ordinary windows, one of the windows that toxic texts
-have significantly more often. A window is a word between spaces, written
-three times over, since the format stores shorter inputs as they are. The
-distance is the compressed length under the ordinary dictionary less that
-under the toxic one. A window is a hit when the toxic dictionary shortens it
-and its length there is at most the threshold calibrated for words of its
-length; a text is toxic when the share of hits among its words reaches a
-calibrated share. Both thresholds come from the half of the ordinary sample
-that the dictionaries have not seen.
-
-The model is fitted on a bounded sample: ``sample`` toxic and twice as many
-ordinary labelled ids, those of the least hashes. Scoring reads every word of
-every text. Null and wordless texts have no words and are never toxic;
-repeated rows are judged alike; an empty table gives an empty result. Without
-labels of both kinds nothing is toxic. Other columns are carried along
+zstandard's trainer makes a dictionary of ordinary text, and one of what toxic
+texts hold and ordinary ones don't: fragments made of byte grams that are
+``LEAST_RATIO`` times as frequent in toxic texts. Each follows the same base
+trained on ordinary text, so that two compressors differ in nothing else: one
+knows base and ordinary padding, the other base and toxic fragments at the same
+distances. Texts are cut into windows of ``WORDS`` words. A window's distance is
+its compressed length without the toxic fragments less that with them; it is
+written twice, as the format stores short inputs that gain little as they are.
+
+Distances are calibrated on texts that the dictionaries have not seen: each
+distance weighs the logarithm of its frequency in toxic texts over that in
+ordinary ones, and a text is toxic when its distinct windows' weights add up to
+more than all but ``REJECT_RATE`` of the ordinary texts' do. Nothing is looked
+up in a list of words: any window that shares its stems with toxic text is
+shortened.
+
+The model is fitted on a bounded sample: ``sample`` toxic and three times as many
+ordinary labelled ids, those of the least hashes. Scoring reads every window of
+every text, words of any length. Null and wordless texts have no windows and are
+never toxic; repeated rows are judged alike; very long texts are read to their
+end; an empty table gives an empty result. Without labels of both kinds, or too
+few of them for the trainer, nothing is toxic. Other columns are carried along
 whatever their names.
 """
 
 from __future__ import annotations
 
-import math
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -37,23 +41,48 @@ from pyspark.sql import types as T
 from . import textvec
 from .rows import ID, TEXT, small_batches
 
-SAMPLE, LEAST_Z, LEAST_DOCS, LEAST_SHARE, LEAST_RATIO, MOST_WORD = 2000, 4.0, 3, 0.01, 8.0, 24
-WINDOW_RATE, REJECT_RATE = 0.002, 0.004
-_LEVEL, _DICT, _SLICE, _OF_USUAL = 9, 4096, 250, 0.4
+SAMPLE, WORDS, BASE, EXTRA, LEAST_RATIO, LEAST_SHARE, REJECT_RATE = 1000, 3, 32768, 2048, 25.0, 0.02, 0.002
+_GRAM, _CELLS, _SLICE, _LOW, _HIGH, _HIT, _LEAST_SCORE = 5, 1 << 22, 250, -20, 43, 3, 3.0
 
 
 @dataclass
 class Model:
-    """What scoring needs; an empty toxic dictionary marks nothing."""
+    """What scoring needs; without a toxic dictionary nothing is marked."""
 
     ordinary: bytes = b""
     toxic: bytes = b""
-    longest: list[int] = field(default_factory=lambda: [0] * (MOST_WORD + 1))
-    share: float = 1.0
-
-
-def window(word: bytes) -> bytes:
-    return b" " + (word + b" ") * 3
+    weights: list[float] = field(default_factory=list)  # of the distances _LOW to _HIGH
+    threshold: float = float("inf")
+
+
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    kind = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_FULLDICT)
+    params = zstandard.ZstdCompressionParameters(
+        window_log=17, hash_log=17, chain_log=17, search_log=5, min_match=3, target_length=14, strategy=zstandard.STRATEGY_BTOPT,
+        write_content_size=False, write_dict_id=False, write_checksum=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    kind.precompute_compress(compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=kind, compression_params=params)
+
+
+def windows(texts: pa.Array, words: int = WORDS) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the lower-cased texts, row, start, end, name) of the windows of so many words, in order; a text's last may have fewer.
+
+    A window reaches one byte beyond its words on both sides. Equal words have equal names.
+    """
+    low = pc.utf8_lower(texts)
+    buf, off = textvec.utf8(low)
+    h, row, start, end = textvec.words(low)
+    first = np.searchsorted(row, row)
+    i = np.flatnonzero((np.arange(len(row)) - first) % words == 0)
+    last = np.minimum(i + words - 1, np.searchsorted(row, row[i], side="right") - 1)
+    r = row[i]
+    a, b = np.maximum(off[r] + start[i] - 1, off[r]), np.minimum(off[r] + end[last] + 1, off[r + 1])
+    name = np.zeros(len(i), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(words):
+            name = textvec.mix(name * np.uint64(0x9E3779B97F4A7C15) + np.where(i + k <= last, h[np.minimum(i + k, last)] if len(i) else 0, np.uint64(k)))
+    return buf.tobytes(), r, a, b, name
 
 
 class _Judge:
@@ -61,54 +90,40 @@ class _Judge:
 
     def __init__(self, model: Model) -> None:
         self.model = model
-        self.known, self.hit = np.zeros(0, np.uint64), np.zeros(0, bool)
-        raw = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (model.ordinary, model.toxic)]
-        self.pair = [zstandard.ZstdCompressor(level=_LEVEL, dict_data=d, write_content_size=False, write_dict_id=False, write_checksum=False) for d in raw]
-
-    def lengths(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        if not words:
+        self.weights = np.array(model.weights)
+        self.pair = [_compressor(d) for d in (model.ordinary, model.toxic)] if model.toxic else []
+
+    def distances(self, buf: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How much shorter each window becomes by the toxic dictionary."""
+        n = end - start
+        twice, at = np.repeat(n, 2), np.repeat(start, 2)
+        to = np.cumsum(twice) - twice
+        data = np.frombuffer(buf, np.uint8)[np.arange(twice.sum()) - np.repeat(to - at, twice)].tobytes()
+        segments = np.stack([to[::2], 2 * n], 1).astype(np.uint64)
+        out = np.zeros(len(n), np.int64)
+        for i in range(0, len(n), 16384):
+            part = zstandard.BufferWithSegments(data, segments[i : i + 16384].tobytes())
+            a, b = (np.fromiter(map(len, c.multi_compress_to_buffer(part)), np.int64) for c in self.pair)
+            out[i : i + 16384] = a - b
+        return out
+
+    def seen(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row, distance) of the distinct windows of each text."""
+        buf, row, start, end, name = windows(texts)
+        if not len(row) or not self.pair:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        ws = [window(w) for w in words]
-        return tuple(np.fromiter(map(len, c.multi_compress_to_buffer(ws)), np.int64, len(ws)) for c in self.pair)
-
-    def hits(self, words: list[bytes]) -> np.ndarray:
-        a, b = self.lengths(words)
-        most = np.array(self.model.longest)[np.fromiter(map(len, words), np.int64, len(words))]
-        return (b < a) & (b <= most)
-
-    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(words, hits) of each text."""
-        low = pc.utf8_lower(texts)
-        h, row, start, end = textvec.words(low)
-        total = np.bincount(row, minlength=len(texts))
-        if not self.model.toxic:
-            return total, np.zeros(len(texts), np.int64)
-        u, at, name = np.unique(h, return_index=True, return_inverse=True)
-        pos = np.minimum(np.searchsorted(self.known, u), max(len(self.known) - 1, 0))
-        new = self.known[pos] != u if len(self.known) else np.ones(len(u), bool)
-        if new.any():
-            buf, off = textvec.utf8(low)
-            view = buf.tobytes()
-            i = at[new]
-            begin, stop = off[row[i]] + start[i], off[row[i]] + end[i]
-            size = stop - begin
-            fit = (size >= 3) & (size <= MOST_WORD)
-            found = np.zeros(len(i), bool)
-            found[fit] = self.hits([view[x:y] for x, y in zip(begin[fit].tolist(), stop[fit].tolist())])
-            known, hit = np.concatenate([self.known, u[new]]), np.concatenate([self.hit, found])
-            order = np.argsort(known, kind="stable")
-            self.known, self.hit = known[order], hit[order]
-        good = self.hit[np.searchsorted(self.known, u)]
-        return total, np.bincount(row[good[name]], minlength=len(texts))
-
-
-def _bags(texts: list[str]) -> Iterator[Counter]:
-    for t in texts:
-        low = pc.utf8_lower(pa.array([t]))
-        buf, _ = textvec.utf8(low)
-        _, _, start, end = textvec.words(low)
-        view = buf.tobytes()
-        yield Counter(view[a:b] for a, b in zip(start.tolist(), end.tolist()))
+        _, first, which = np.unique(name, return_index=True, return_inverse=True)
+        d = self.distances(buf, start[first], end[first])
+        once = np.unique(row * len(first) + which)
+        return once // len(first), d[once % len(first)]
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(distinct windows, hits, score) of each text; hits are the windows of a distance of at least three bytes."""
+        n = len(texts)
+        row, d = self.seen(texts)
+        if not self.pair:
+            return np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
+        return np.bincount(row, minlength=n), np.bincount(row[d >= _HIT], minlength=n), np.bincount(row, self.weights[np.clip(d, _LOW, _HIGH) - _LOW], minlength=n)
 
 
 def _apart(texts: list[str]) -> list[str]:
@@ -120,70 +135,82 @@ def _apart(texts: list[str]) -> list[str]:
     return list(out.values())
 
 
-def train(toxic: list[str], ordinary: list[str], window_rate: float = WINDOW_RATE, reject_rate: float = REJECT_RATE) -> Model:
+def _grams(buf: bytes) -> np.ndarray:
+    """The cell of the byte gram at each place."""
+    x = np.frombuffer(buf + b" " * (_GRAM - 1), np.uint8).astype(np.uint64)
+    h = np.zeros(len(buf), np.uint64)
+    for k in range(_GRAM):
+        h = h * np.uint64(257) + x[k : len(buf) + k]
+    return (textvec.mix(h) & np.uint64(_CELLS - 1)).astype(np.int64)
+
+
+def fragments(toxic: list[str], ordinary: list[str], ratio: float = LEAST_RATIO, share: float = LEAST_SHARE) -> list[bytes]:
+    """The stretches of toxic texts made of grams that are so many times as frequent there as in ordinary texts."""
+    a, b = (b"\n".join(t.lower().encode() for t in texts) for texts in (toxic, ordinary))
+    ga, gb = _grams(a), _grams(b)
+    mine, other = (np.bincount(g, minlength=_CELLS)[ga] for g in (ga, gb))
+    rare = (mine >= max(3, share * len(toxic))) & (mine / len(a) > ratio * (other + 0.5) / max(len(b), 1))
+    cover = np.zeros(len(a) + _GRAM + 1, np.int8)
+    for k in range(_GRAM):
+        cover[np.flatnonzero(rare) + k] = 1
+    turn = np.flatnonzero(np.diff(np.concatenate([[0], cover[: len(a)], [0]])))
+    return [a[x:y].ljust(8) for x, y in zip(turn[::2], turn[1::2])]
+
+
+def _dictionary(size: int, samples: list[bytes], d: int, k: int) -> bytes:
+    """A trained dictionary of at most that size, of a smaller one where the samples don't suffice for more, or nothing."""
+    while size >= 256:
+        try:
+            return zstandard.train_dictionary(size, samples, d=d, k=k, steps=1).as_bytes()
+        except zstandard.ZstdError:
+            size //= 2
+    return b""
+
+
+def train(toxic: list[str], ordinary: list[str], reject_rate: float = REJECT_RATE) -> Model:
     """A model from texts of both kinds; every second ordinary text only calibrates."""
     toxic, ordinary = _apart(sorted(set(toxic))), _apart(sorted(set(ordinary) - set(toxic)))
     seen, unseen = ordinary[::2], ordinary[1::2]
     if not toxic or not seen or not unseen:
         return Model()
-    bad: Counter = Counter()
-    for bag in _bags(toxic):
-        bad.update(bag.keys())
-    bad = Counter({w: n for w, n in bad.items() if n >= max(LEAST_DOCS, LEAST_SHARE * len(toxic)) and 3 <= len(w) <= MOST_WORD})
-    good: Counter = Counter()
-    samples: list[bytes] = []
-    for k, bag in enumerate(_bags(seen)):
-        good.update(w for w in bag if w in bad)
-        samples += [window(w) for j, w in enumerate(bag.elements()) if (j + k) % 5 == 0]
-    nt, no = len(toxic), len(seen)
-
-    def z(w: bytes) -> float:
-        p = (bad[w] + good[w]) / (nt + no)
-        return (bad[w] / nt - good[w] / no) / math.sqrt(p * (1 - p) * (1 / nt + 1 / no)) if 0 < p < 1 else 0.0
-
-    marked = sorted((w for w in bad if z(w) > LEAST_Z and bad[w] / nt > LEAST_RATIO * (good[w] + 0.5) / no), key=lambda w: (z(w), w))
-    if not marked or len(samples) < 100:
+    samples = []
+    for i in range(0, len(seen), _SLICE):
+        buf, _, start, end, _ = windows(pa.array(seen[i : i + _SLICE]), 4)
+        samples += [buf[a:b] for a, b in zip(start.tolist(), end.tolist())]
+    extra = _dictionary(EXTRA, fragments(toxic, seen), 6, 16)
+    base = _dictionary(BASE, samples[:: max(1, len(samples) // 80000)], 8, 64)
+    if not extra or not base:
         return Model()
-    model = Model(zstandard.train_dictionary(_DICT, samples, d=6, k=40, steps=1).as_bytes(), b"".join(map(window, marked)))
+    # bytes that no text has stand for the fragments, so that the base is as far away in both
+    model = Model(base + b"\0" * len(extra), base + extra)
     judge = _Judge(model)
-    bags = [{w: n for w, n in bag.items() if 3 <= len(w) <= MOST_WORD} | {b"": sum(bag.values())} for bag in _bags(unseen)]
-    vocabulary = sorted({w for bag in bags for w in bag if w})
-    a, b = judge.lengths(vocabulary)
-    shorter = dict(zip((w for w, x, y in zip(vocabulary, a, b) if y < x), (int(y) for x, y in zip(a, b) if y < x)))
-    # ordinary texts with a window of each size and length; a text counts once for a window that it repeats
-    at: list[Counter] = [Counter() for _ in range(MOST_WORD + 1)]
-    for bag in bags:
-        for w in bag:
-            if w in shorter:
-                at[len(w)][shorter[w]] += 1
-    for size in range(3, MOST_WORD + 1):
-        full = sorted(judge.lengths([w for w in marked if len(w) == size])[1].tolist())
-        for c in sorted(set(full)):
-            if sum(n for k, n in at[size].items() if k <= c) > window_rate * len(bags) and c > full[0]:
-                break
-            model.longest[size] = c
-    shares = sorted((sum(n for w, n in bag.items() if w in shorter and shorter[w] <= model.longest[len(w)]) / max(bag[b""], 1) for bag in bags), reverse=True)
-    worst = shares[min(int(reject_rate * len(shares)), len(shares) - 1)]
-    # chance hits are rare even where toxic texts have many, so the share also stays within reach of theirs
-    words, hits = (np.concatenate(x) for x in zip(*(judge.counts(pa.array(toxic[i : i + _SLICE])) for i in range(0, len(toxic), _SLICE))))
-    usual = (hits / np.maximum(words, 1))[hits > 0]
-    model.share = max(worst * (1 + 1e-9) + 1e-12, _OF_USUAL * float(np.quantile(usual, 0.05)) if len(usual) else 0.001)
+
+    def distances(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [judge.seen(pa.array(texts[i : i + _SLICE])) for i in range(0, len(texts), _SLICE)]
+        return np.concatenate([r + i * _SLICE for i, (r, _) in enumerate(parts)]), np.clip(np.concatenate([d for _, d in parts]), _LOW, _HIGH) - _LOW
+
+    (_, bad), (row, good) = distances(toxic), distances(unseen)
+    p, q = (np.bincount(x, minlength=_HIGH - _LOW + 1) + 0.5 for x in (bad, good))
+    w = np.log(p / p.sum() / (q / q.sum()))
+    w[: 1 - _LOW] = np.minimum(w[: 1 - _LOW], 0)
+    scores = np.sort(np.bincount(row, w[good], minlength=len(unseen)))[::-1]
+    model.weights = w.tolist()
+    model.threshold = max(float(scores[min(int(reject_rate * len(scores)), len(scores) - 1)]), _LEAST_SCORE)
     return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = ID, text_col: str = TEXT) -> Model:
-    """A model from the texts of a bounded sample of the labelled ids."""
-    judged = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    kinds = {}
-    for kind, most in ((1, sample), (0, 2 * sample)):
-        for r in judged.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect():
-            kinds[r["doc_id"]] = kind
-    if not kinds:
+    """A model from the texts, whole, of a bounded sample of the labelled ids."""
+    judged = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("kind"))
+    ids = [r for kind, most in ((1, sample), (0, 3 * sample)) for r in judged.where(F.col("kind") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()]
+    if not ids:
         return Model()
-    texts = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).where(F.col("i").isin(list(kinds)) & F.col("t").isNotNull()).toArrow()
+    chosen = docs.sparkSession.createDataFrame(ids, judged.schema).withColumnsRenamed({"doc_id": "s_id", "kind": "s_kind"})
+    rows = docs.select(docs[id_col].alias("i"), docs[text_col].alias("t")).where("t IS NOT NULL")
+    texts = rows.join(F.broadcast(chosen), F.col("i") == F.col("s_id")).select("t", "s_kind").toArrow()
     both: dict[int, list[str]] = {0: [], 1: []}
-    for i, t in zip(texts["i"].to_pylist(), texts["t"].to_pylist()):
-        both[kinds[i]].append(t)
+    for t, kind in zip(texts["t"].to_pylist(), texts["s_kind"].to_pylist()):
+        both[kind].append(t)
     return train(both[1], both[0])
 
 
@@ -193,19 +220,19 @@ def _judged(model: Model, text: int, keep: bool):
         for whole in batches:
             for at in range(0, whole.num_rows, _SLICE):
                 b = whole.slice(at, _SLICE)
-                words, hits = judge.counts(b.column(text))
-                toxic = hits >= np.maximum(model.share * words, 1e-9)
+                seen, hits, score = judge.scores(b.column(text))
+                toxic = score > model.threshold
                 if keep:
                     yield b.filter(pa.array(~toxic))
                 else:
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words.astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(toxic)], names=["doc_id", "words", "hits", "toxic"])
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(seen.astype(np.int64)), pa.array(hits.astype(np.int64)), pa.array(np.round(score.astype(np.float64), 6)), pa.array(toxic)], names=["doc_id", "windows", "hits", "score", "toxic"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """(doc_id, words, hits, toxic) of every row."""
-    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("words", T.LongType()), T.StructField("hits", T.LongType()), T.StructField("toxic", T.BooleanType())])
+    """(doc_id, windows, hits, score, toxic) of every row."""
+    out = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("windows", T.LongType()), T.StructField("hits", T.LongType()), T.StructField("score", T.DoubleType()), T.StructField("toxic", T.BooleanType())])
     return small_batches(docs).select(docs[id_col].alias("i"), docs[text_col].alias("t")).mapInArrow(_judged(model, 1, False), out)
 
 

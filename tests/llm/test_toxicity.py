@@ -1,4 +1,5 @@
 import random
+import re
 
 import pyarrow as pa
 import pytest
@@ -28,8 +29,7 @@ def model():
 
 
 def judged(model, texts):
-    words, hits = toxicity._Judge(model).counts(pa.array(texts, pa.string()))
-    return [h >= max(model.share * w, 1e-9) for w, h in zip(words, hits)]
+    return (toxicity._Judge(model).scores(pa.array(texts, pa.string()))[2] > model.threshold).tolist()
 
 
 def test_held_out_accuracy(model):
@@ -37,9 +37,45 @@ def test_held_out_accuracy(model):
     assert sum(judged(model, corpus(4, 300, False))) <= 3
 
 
+def brute(model, text):
+    """(distinct windows, score) of a text, a window at a time."""
+    low = (text or "").lower().encode()
+    words = list(re.finditer(rb"[a-z0-9\x80-\xff]+", low))
+    groups = [words[i : i + toxicity.WORDS] for i in range(0, len(words), toxicity.WORDS)]
+    seen = {tuple(w.group() for w in g): low[max(g[0].start() - 1, 0) : g[-1].end() + 1] for g in reversed(groups)}
+    one, other = (toxicity._compressor(d) for d in (model.ordinary, model.toxic))
+    d = [len(one.compress(w * 2)) - len(other.compress(w * 2)) for w in seen.values()]
+    return len(seen), sum(model.weights[min(max(x, toxicity._LOW), toxicity._HIGH) - toxicity._LOW] for x in d)
+
+
+def test_scores_equal_brute_force(model):
+    texts = [*corpus(5, 20, True), *corpus(6, 20, False), None, "", " ?! ", "one", "Zwei wörter", "x" * 70000 + " " + BAD[0], "a b c a b c a b c"]
+    for t in texts:  # one at a time, as equal windows of other texts may have other bytes around them
+        windows, _, score = toxicity._Judge(model).scores(pa.array([t], pa.string()))
+        n, s = brute(model, t)
+        assert windows[0] == n and abs(score[0] - s) < 1e-9
+
+
+def test_both_dictionaries_are_trained_and_no_list(model):
+    """Texts whose toxic words are inflections that no training text has are found by their stems."""
+    assert len(model.toxic) == len(model.ordinary) and model.toxic[: -toxicity.EXTRA] == model.ordinary[: -toxicity.EXTRA]
+    rng = random.Random(12)
+    variants = [b[:-1] + e for b in BAD for e in ("ings", "ery", "ous", "ified")]
+    texts = []
+    for t in corpus(7, 100, False):
+        words = t.split()
+        for _ in range(max(3, len(words) // 25)):
+            words.insert(rng.randrange(len(words)), rng.choice(variants))
+        texts.append(" ".join(words))
+    assert not any(w.encode() in model.toxic for w in variants)
+    assert sum(judged(model, texts)) >= 80
+
+
 def test_marks_at_the_end_of_very_long_texts_count(model):
     long = sentence(random.Random(9), 40000)
-    assert judged(model, [long, long + (" " + BAD[0]) * 4000, None, "", " ?! "]) == [False, True, False, False, False]
+    mark = " ".join(f"{b} {sentence(random.Random(i), 2)}" for i, b in enumerate(BAD * 200))
+    assert judged(model, [long + " " + mark, None, "", " ?! "]) == [True, False, False, False]
+    assert judged(model, [mark + " " + long]) == [True]
 
 
 def test_fit_and_odd_rows(spark, odd, none, model):
