@@ -12,12 +12,16 @@ the information content of e,
 which is 1 where t never occurs without e. In texts that hold e, terms from
 ``generalise`` on become the name of their class and terms from ``remove`` on
 are deleted, given that e and t occur together in at least ``support``
-contexts. A context is a text's least hashed run of three words, so that
-copies and near copies of one text are one piece of evidence, not many.
-
-Texts without an entity stay as they are, as do null and empty ones. Repeated
-rows are treated alike. An empty table gives an empty result. Columns of any
-name are carried along.
+contexts and that so many of e's contexts hold t by chance less than once in a
+thousand (likelihood ratio of the binomial). A context is a group of near
+copies, connected by bands of hashed runs of three words, so that copies and
+near copies of one text are one piece of evidence, not many. An entity of a
+single context is replaced, but nothing can be estimated about it.
+
+Texts without an entity stay as they are, as do null and empty ones. Very long
+texts are read and rewritten whole. Repeated rows are treated alike, and terms
+that tie with a threshold are changed. An empty table gives an empty result.
+Columns of any name are carried along.
 """
 
 from __future__ import annotations
@@ -33,16 +37,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.operators.components import connected_components
 from siltstone.operators.lineage import materialise
 
 from . import textvec
 from .rows import ID, TEXT, small_batches
 
-SUPPORT, GENERALISE, REMOVE = 5, 0.7, 0.9
-_HINT = "[@0-9]"
+SUPPORT, GENERALISE, REMOVE, CHANCE = 2, 0.7, 0.9, 10.83 / 2
+_BANDS, _ROWS = 8, 2
+# what every text with an entity holds, in Java's syntax; characters beyond the first plane may be digits that Java doesn't know
+HINT = r"[@\p{Nd}\x{10000}-\x{10FFFF}]|[a-fA-F]{32}|(?:[tT][oO][kK][eE][nN]|[sS][eE][cC][rR][eE][tT]|[pP][aA][sS][sS][wW](?:[oO][rR])?[dD]|[aA][pP][iI][_-]?[kK][eE][yY])[\s\x0B\x1C-\x1F\x85\p{Z}]*[:=]"
 _KINDS = re.compile(
     r"""(?P<EMAIL>(?<![\w.%+-])[\w.%+-]+@\w[\w-]*(?:\.[\w-]+)+)
-    |(?P<SECRET>(?:(?i:token|secret|passw(?:or)?d|api[_-]?key)\s*[:=]\s*["']?(?P<value>[\w+/=-]{16,}))|(?<!\w)[0-9a-fA-F]{32,64}(?!\w))
+    |(?P<SECRET>(?:(?ai:token|secret|passw(?:or)?d|api[_-]?key)\s*[:=]\s*["']?(?P<value>[\w+/=-]{16,}))|(?<!\w)[0-9a-fA-F]{32,}(?!\w))
     |(?P<IBAN>(?<!\w)[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){3,7}(?:\ ?[A-Z0-9]{1,3})?(?!\w))
     |(?P<PHONE>(?<![\w+.])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w+.])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)|(?<![\w+.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))
     |(?P<SSN>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
@@ -96,22 +103,35 @@ def _masked(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def contexts(texts: pa.Array) -> np.ndarray:
-    """The context of each text as a signed number."""
-    return textvec.contexts(texts, 17).view(np.int64)
+def bands(texts: pa.Array) -> np.ndarray:
+    """n x 8 numbers; near copies mostly share one at least, other texts hardly ever do.
+
+    Each is made of the least two of differently hashed runs of three words, of the words themselves in shorter texts.
+    """
+    n = len(texts)
+    h, row, _, _ = textvec.words(texts)
+    few = np.bincount(row, minlength=n) < 3
+    h3, row3 = textvec.shingles(h, row, 3)
+    h, row = np.concatenate([h3, h[few[row]]]), np.concatenate([row3, row[few[row]]])
+    out = np.zeros((n, _BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(_BANDS):
+            for r in range(_ROWS):
+                least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                np.minimum.at(least, row, textvec.mix(h + np.uint64(1000003 * (b * _ROWS + r + 1))))
+                out[:, b] = textvec.mix(out[:, b] * np.uint64(0x9E3779B97F4A7C15) + least + np.uint64(b))
+    return out.view(np.int64)
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(k1, k2, text) -> (k1, k2, e, context) for each entity of each row."""
+    """(k1, k2, text) -> (k1, k2, es, bands) of each row with entities."""
     for b in batches:
         found = [entities(t) for t in b.column(2).to_pylist()]
         rows = np.flatnonzero([bool(f) for f in found])
         b, found = b.take(pa.array(rows, pa.int64())), [found[i] for i in rows]
         masked = pa.array([_masked(t, f) for t, f in zip(b.column(2).to_pylist(), found)], pa.string())
-        ctx, names = contexts(masked), [_names(f) for f in found]
-        rep = np.repeat(np.arange(len(names)), [len(x) for x in names])
-        e = np.concatenate(names).view(np.int64) if names else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rep)), b.column(1).take(pa.array(rep)), pa.array(e, pa.int64()), pa.array(ctx[rep], pa.int64())], names=["k1", "k2", "e", "ctx"])
+        es = pa.array([_names(f).view(np.int64).tolist() for f in found], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), es, pa.array(bands(masked).tolist(), pa.list_(pa.int64()))], names=["k1", "k2", "es", "bands"])
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,17 +206,25 @@ def rewrite(text: str, terms: dict[int, int]) -> tuple[str, int, int, int]:
     return "".join([*out, text[at:]]), len(found), *counts
 
 
-def disclosures(docs: DataFrame, found: DataFrame, n: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, text_col: str = TEXT) -> tuple[DataFrame, DataFrame]:
-    """((k1, k2, es) of the texts with recurring entities, (e, t, act) of the terms that give them away)."""
-    recurring = materialise(found.groupBy("e").agg(F.count("*").alias("n_e"), F.countDistinct("ctx").alias("c")).where(F.col("c") >= support).drop("c"), "recurring")
+def disclosures(docs: DataFrame, keyed: DataFrame, n: int, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE, text_col: str = TEXT) -> tuple[DataFrame, DataFrame]:
+    """((k1, k2, es) of the texts with recurring entities, (e, t, act) of the terms that give them away); keyed has k1, k2 and x, the texts that may have entities."""
+    rows = materialise(keyed.mapInArrow(_find, "k1 bigint, k2 bigint, es array<bigint>, bands array<bigint>"), "entities")
+    one = rows.dropDuplicates(["k1", "k2"])
+    linked = connected_components(one.select("k1", F.explode("bands").alias("b")), "k1", "b")
+    ctx = one.select("k1").distinct().join(linked, F.col("k1") == F.col("node")).select("k1", F.col("component").alias("ctx"))
+    found = materialise(rows.join(ctx, "k1").select("k1", "k2", "ctx", F.explode("es").alias("e")), "entity-contexts")
+    recurring = materialise(found.groupBy("e").agg(F.count("*").alias("n_e"), F.countDistinct("ctx").alias("c_e")).where(F.col("c_e") >= support), "recurring")
     texts = found.join(recurring, "e").groupBy("k1", "k2").agg(F.collect_set("e").alias("es"), F.first("ctx").alias("ctx"))
     texts = materialise(texts, "entity-texts")
-    keyed = docs.where(F.coalesce(docs[text_col].rlike(_HINT), F.lit(False))).select(*_keys(docs[text_col]), docs[text_col].alias("x"))
     pairs = keyed.join(texts, ["k1", "k2"]).select("x", "es", "ctx").mapInArrow(_pairs, "e bigint, t bigint, ctx bigint")
-    together = materialise(pairs.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.countDistinct("ctx").alias("c")).where(F.col("c") >= support).drop("c"), "together")
-    df = docs.where(docs[text_col].isNotNull()).select(docs[text_col].alias("x")).mapInArrow(_frequencies, "t bigint, n bigint").groupBy("t").agg(F.sum("n").alias("n_t"))
+    together = materialise(pairs.groupBy("e", "t").agg(F.count("*").alias("n_et"), F.countDistinct("ctx").alias("c")).where(F.col("c") >= support), "together")
+    terms = together.select("t").distinct()
+    df = docs.where(docs[text_col].isNotNull()).select(docs[text_col].alias("x")).mapInArrow(_frequencies, "t bigint, n bigint").join(terms, "t", "left_semi").groupBy("t").agg(F.sum("n").alias("n_t"))
     share = F.log(F.lit(float(n)) * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log(F.lit(float(n)) / F.col("n_e"))
-    scored = together.join(recurring, "e").join(df, "t").where(F.col("n_e") < n).withColumn("s", share).where(F.col("s") >= generalise)
+    p, q = F.col("n_t") / float(n), F.col("c") / F.col("c_e")
+    # the likelihood ratio that c of e's contexts hold t, against t's share of all texts
+    ratio = F.when(q > p, F.col("c") * F.log(q / p) + F.when(q < 1, (F.col("c_e") - F.col("c")) * F.log((1 - q) / (1 - p))).otherwise(0.0)).otherwise(0.0)
+    scored = together.join(recurring, "e").join(df, "t").where(F.col("n_e") < n).where(ratio >= CHANCE).withColumn("s", share).where(F.col("s") >= generalise)
     return texts, materialise(scored.select("e", "t", F.when(F.col("s") >= remove, 2).otherwise(1).alias("act")), "disclosures")
 
 
@@ -208,9 +236,9 @@ def _sanitised(docs: DataFrame, text_col: str, support: int, generalise: float,
     """Rows without a hint of an entity, and the rewritten others; both with columns c0, c1, ... and three counts."""
     plain = small_batches(docs).toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{docs.columns.index(text_col)}"
-    hint = F.coalesce(F.col(text).rlike(_HINT), F.lit(False))
-    found = materialise(plain.where(hint).select(*_keys(F.col(text)), F.col(text).alias("x")).mapInArrow(_find, "k1 bigint, k2 bigint, e bigint, ctx bigint"), "entities")
-    texts, acts = disclosures(plain, found, max(plain.where(F.col(text).isNotNull()).count(), 1), support, generalise, remove, text)
+    hint = F.coalesce(F.col(text).rlike(HINT), F.lit(False))
+    keyed = materialise(plain.where(hint).select(*plain.columns, *_keys(F.col(text))), "hinted")
+    texts, acts = disclosures(plain, keyed.select("k1", "k2", F.col(text).alias("x")), max(plain.where(F.col(text).isNotNull()).count(), 1), support, generalise, remove, text)
     plan = texts.select("k1", "k2", F.explode("es").alias("e")).join(acts, "e").groupBy("k1", "k2", "t").agg(F.max("act").alias("act")).groupBy("k1", "k2").agg(F.collect_list(F.struct("t", "act")).alias("acts"))
     at, width = docs.columns.index(text_col), len(docs.columns)
     schema = T.StructType([*plain.schema, *(T.StructField(c, T.LongType()) for c in ("s_entities", "s_generalised", "s_removed"))])
@@ -222,7 +250,6 @@ def _sanitised(docs: DataFrame, text_col: str, support: int, generalise: float,
             cols = [pa.array([r[0] for r in new], pa.string()) if i == at else b.column(i) for i in range(width)]
             yield pa.RecordBatch.from_arrays([*cols, *(pa.array([r[k] for r in new], pa.int64()) for k in (1, 2, 3))], names=schema.names)
 
-    keyed = plain.where(hint).select(*plain.columns, *_keys(F.col(text)))
     hinted = keyed.join(plan, ["k1", "k2"], "left").select(*plain.columns, "acts").mapInArrow(apply, schema)
     return plain.where(~hint).select(*plain.columns, *(F.lit(0).cast("long").alias(c) for c in schema.names[width:])), hinted, schema
 
