@@ -63,10 +63,9 @@ def severity() -> Column:
 
 
 def findings(parsed: DataFrame) -> DataFrame:
-    """Contradictions with any claim or explanation, high ones first, then by falling score."""
+    """Contradictions with any claim or explanation; sinks put high ones first, then by falling score."""
     real = parsed.where("status = 'CONTRADICTION' AND (claim_a <> '' OR claim_b <> '' OR explanation <> '')")
-    out = real.select("left_id", "right_id", "scope", F.round("score", 3).alias("similarity"), severity().alias("severity"), "claim_a", "claim_b", "explanation", "recommendation")
-    return out.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), F.desc("similarity"), "left_id", "right_id")
+    return real.select("left_id", "right_id", "scope", F.round("score", 3).alias("similarity"), severity().alias("severity"), "claim_a", "claim_b", "explanation", "recommendation")
 
 
 def usage(answers: DataFrame) -> DataFrame:

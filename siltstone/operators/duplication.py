@@ -13,9 +13,13 @@ KINDS = ("exact", "already_in_index", "near_duplicate")
 def exact_clusters(pairs: DataFrame) -> DataFrame:
     """(chunk_id, cluster_id, score): the components of exact pairs of new chunks, each with its least pair score.
 
-    cluster_id is the least chunk id of the component.
+    cluster_id is the least chunk id of the component. Chunks are joined under
+    64-bit hashes of their ids; two ids with the same hash raise an error.
     """
     exact = pairs.where("scope = 'new_vs_new' AND severity = 'exact'").withColumns({"a": F.xxhash64("left_id"), "b": F.xxhash64("right_id")})
+    named = exact.select(F.col("left_id").alias("id"), F.col("a").alias("h")).union(exact.select("right_id", "b"))
+    if not named.groupBy("h").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").isEmpty():
+        raise ValueError("two chunk ids have the same hash")
     part = connected_components(exact, "a", "b")
     score = exact.join(part, F.col("a") == F.col("node")).groupBy("component").agg(F.min("score").alias("score"))
     ids = exact.select(F.col("left_id").alias("chunk_id"), F.col("a").alias("node")).union(exact.select("right_id", "b")).distinct()
@@ -34,7 +38,7 @@ def near_pairs(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def findings(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(finding_type, finding_id, score, members): clusters, pairs with the index, then near pairs, each by falling score.
+    """(finding_type, finding_id, score, members): clusters, pairs with the index and near pairs; sinks put them in this order, each by falling score.
 
     members are structs of chunk_id, document_id, filename, chunk_index and side.
     """
@@ -50,8 +54,7 @@ def findings(pairs: DataFrame, chunks: DataFrame) -> DataFrame:
     member = F.struct("k", F.coalesce("filename", F.lit("")).alias("name"), "chunk_index", "chunk_id", "document_id", "filename", "side")
     found = flat.join(info, "chunk_id").groupBy("finding_type", "finding_id", "score").agg(F.sort_array(F.collect_list(member)).alias("members"))
     found = found.withColumn("members", F.transform("members", lambda m: m.dropFields("k", "name")))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("finding_type"))
-    return found.orderBy(order, F.desc("score"), "finding_id")
+    return found
 
 
 def counts(found: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.errors import classified
+
 Embedder = Callable[[list[str]], list[list[float]]]
 BATCH, ATTEMPTS = 100, 2
 
@@ -49,7 +51,7 @@ def embed(chunks: DataFrame, embedder: Embedder = hashed_bigrams, batch: int = B
                         break
                     except Exception as e:  # noqa: BLE001 - any failure of the service is a row's error
                         for i in todo:
-                            errors[i] = f"{type(e).__name__}: {e}"
+                            errors[i] = f"{type(classified(e)).__name__}: {classified(e)}"
                 cols = [pa.array(vectors, pa.list_(pa.float64())) if i == vector else part.column(i) for i in range(part.num_columns)]
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(errors, pa.string())], names=[*part.schema.names, "embedding_error"])
 

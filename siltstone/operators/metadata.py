@@ -15,14 +15,15 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as X
 
 DEFAULT_FIELDS = ("title", "author", "created date", "modified date", "version", "document type")
-_ALIASES = {
-    "title": "title", "document title": "title", "name": "title",
-    "author": "author", "authors": "author", "owner": "author", "creator": "author", "written by": "author",
-    "created": "created date", "created date": "created date", "creation date": "created date", "date created": "created date", "created at": "created date", "date": "created date",
-    "modified": "modified date", "modified date": "modified date", "date modified": "modified date", "modified at": "modified date", "updated": "modified date", "last modified": "modified date", "last updated": "modified date",
-    "version": "version", "revision": "version",
-    "document type": "document type", "type": "document type", "category": "document type", "doc type": "document type",
-}
+_NAMES = {
+    "title": "title|document title|title or meaningful filename",
+    "author": "author|owner|author or owner",
+    "created date": "created|created at|created date|date created",
+    "modified date": "modified|modified at|modified date|date modified|last modified|updated",
+    "version": "version|revision|version information|product version",
+    "document type": "category|type|document type|document category|document type or category",
+}
+_ALIASES = {name: field for field, names in _NAMES.items() for name in names.split("|")}
 _SOURCES = {
     "title": (("title",), ("title",)),
     "author": (("author", "last_modified_by"), ("author", "owner")),
@@ -31,7 +32,7 @@ _SOURCES = {
     "version": (("version", "revision"), ("version",)),
     "document type": (("category",), ("category", "type", "document_type")),
 }
-GENERIC_NAME = r"(?i)^(?:doc|document|file|untitled|new document|scan)[\s_-]*\d*$"
+GENERIC_NAME = r"(?i)^(?:doc|document|file|untitled|new document|scan)(?:[\s_-]?\d+)?$"
 _DATE_KEY = "date|created|modified|updated"
 
 
@@ -99,7 +100,7 @@ def date_formats() -> Column:
 
 
 def assess(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """docs with completeness, missing_fields, date_formats and consistency_issues; least complete first."""
+    """docs with completeness, missing_fields, date_formats and consistency_issues; sinks put the least complete first."""
     expected = resolve_fields(fields)
     have = [present(c) if c else custom_present(n) for _, c, n in expected]
     missing = F.array_compact(F.array(*(F.when(~h, F.lit(label)) for h, (label, _, _) in zip(have, expected))))
@@ -110,7 +111,7 @@ def assess(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     found = found.crossJoin(F.broadcast(corpus)).crossJoin(F.broadcast(dated))
     own = F.size("date_formats") > 0
     issues = F.array_compact(F.array(F.when((F.col("formats") > 1) & own, "mixed date formats"), F.when(~own & (F.col("dated") > 0), "no date while other documents have one")))
-    return found.withColumn("consistency_issues", issues).drop("formats", "dated").orderBy("completeness", "ordinal")
+    return found.withColumn("consistency_issues", issues).drop("formats", "dated")
 
 
 def summary(assessed: DataFrame) -> DataFrame:
@@ -138,5 +139,15 @@ def recommendation() -> Column:
     )
 
 
+def explanation() -> Column:
+    """Why a document's completeness matters."""
+    return (
+        F.when(F.col("completeness") < 0.3, "Hardly any metadata says what this document is, so it can neither be filtered nor trusted")
+        .when(F.col("completeness") < 0.6, "Part of the metadata is there; ranking and review have to do without the rest")
+        .when(F.size("missing_fields") > 0, "The metadata can be used, with a few gaps")
+        .otherwise("The metadata is complete")
+    )
+
+
 def has_issue() -> Column:
     return (F.size("missing_fields") > 0) | (F.size("consistency_issues") > 0) | (F.col("completeness") < 1)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,22 @@ def judge_queue(assessed: DataFrame, documents: DataFrame, budget: int = JUDGE_B
     return asked.orderBy("ordinal", "chunk_index").limit(budget)
 
 
+def judged(asked: DataFrame, substantial: Callable[[str], bool]) -> DataFrame:
+    """(document_id, substantive) for the chunks of a judge's queue; a failing call counts as substantive."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text in b.column(1).to_pylist():
+                try:
+                    out.append(bool(substantial(text)))
+                except Exception:  # noqa: BLE001 - whatever fails, the document keeps the benefit of the doubt
+                    out.append(True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.bool_())], names=["document_id", "substantive"])
+
+    return asked.select("document_id", "text").mapInArrow(run, "document_id string, substantive boolean")
+
+
 def apply_judgements(states: DataFrame, judged: DataFrame) -> DataFrame:
     """states with open documents made trivial where judged (document_id, substantive) has half or more unsubstantial chunks."""
     v = judged.groupBy("document_id").agg(F.count("*").alias("n"), F.count_if(~F.coalesce("substantive", F.lit(True))).alias("poor"))
@@ -48,7 +67,7 @@ def apply_judgements(states: DataFrame, judged: DataFrame) -> DataFrame:
 
 
 def classify(documents: DataFrame, chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, superseded: DataFrame, contradictions: DataFrame, completeness: DataFrame, judged: DataFrame | None = None) -> DataFrame:
-    """A row a document with its signals and classifications, those with most labels first.
+    """A row a document with its signals, classifications and what they mean; sinks put those with most labels first.
 
     duplicates are duplication findings, stale those of staleness, superseded
     (document_id, finding_id), contradictions (finding_id, document_id) and
@@ -69,7 +88,7 @@ def classify(documents: DataFrame, chunks: DataFrame, duplicates: DataFrame, sta
         out = out.join(part, "document_id", "left")
     zero = ["chunks", "duplicated", *(f"dup_{k}" for k in duplication.KINDS), "stale_chunks", "superseded", "contradictions"]
     out = out.fillna(0, zero).fillna(0.0, ["avg_stale", "max_stale"]).withColumn("duplicate_ratio", F.round(F.col("duplicated") / F.greatest("chunks", F.lit(1)), 3))
-    return out.withColumn("classifications", labels()).withColumn("recommendation", recommendation()).orderBy(F.array_contains("classifications", "healthy"), F.desc(F.size("classifications")), F.lower("filename"))
+    return out.withColumn("classifications", labels()).withColumns({"recommendation": recommendation(), "explanation": explanation(), "impact": impact()})
 
 
 def labels() -> Column:
@@ -79,7 +98,32 @@ def labels() -> Column:
     return F.when(F.size(found) == 0, F.array(F.lit("healthy"))).otherwise(found)
 
 
+def _has(label: str) -> Column:
+    return F.array_contains("classifications", label)
+
+
 def recommendation() -> Column:
-    has = lambda x: F.array_contains("classifications", x)
-    return F.when(has("redundant"), "Remove or merge").when(has("outdated"), "Update").when(has("trivial"), "Review for substance").otherwise("Keep")
+    return F.when(_has("redundant"), "Remove or merge").when(_has("outdated"), "Update").when(_has("trivial"), "Review for substance").otherwise("Keep")
+
+
+def _listed(name: Column, healthy: str, lead: str, parts: dict[str, Column]) -> Column:
+    said = F.concat_ws("; ", F.array_compact(F.array(*(F.when(_has(k), c) for k, c in parts.items()))))
+    return F.when(_has("healthy"), F.concat(name, F.lit(healthy))).otherwise(F.concat(name, F.lit(lead), said))
+
+
+def explanation() -> Column:
+    """Which signals a document's labels rest on."""
+    parts = {
+        "redundant": F.format_string("%.0f %% of its chunks are duplicates", 100 * F.col("duplicate_ratio")),
+        "outdated": F.format_string("mean staleness %.2f, %d passages replaced by newer ones", F.col("avg_stale"), F.col("superseded")),
+        "trivial": F.format_string("%.1f words a chunk, %.2f of them different", F.coalesce("avg_words", F.lit(0.0)), F.coalesce("avg_unique", F.lit(0.0))),
+    }
+    return _listed(F.coalesce("filename", F.lit("The document")), ": nothing to object to", ": ", parts)
+
+
+def impact() -> Column:
+    """What a document would do to answers."""
+    parts = {"redundant": F.lit("it takes the place of other sources"), "outdated": F.lit("answers may state what is no longer true"), "trivial": F.lit("it fills the context with little")}
+    more = F.when(F.col("contradictions") > 0, F.format_string("; contradicted in %d findings", F.col("contradictions"))).otherwise("")
+    return F.concat(_listed(F.lit(""), "No harm expected", "If indexed: ", parts), more)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def percent(part: Column, total: Column) -> Column:
     return F.when(total == 0, F.lit(100.0)).otherwise(F.round(F.greatest(F.lit(0.0), 1 - part / F.nullif(total, F.lit(0))) * 100, 1))
 
 
-def dimensions(total_chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, contradictions: DataFrame, candidates: DataFrame | None, average_completeness: DataFrame, rot: DataFrame, duplicates_known: bool = True) -> DataFrame:
-    """One row with a score for each dimension; contradictions are null without judged candidates, duplication if unknown.
+def dimensions(total_chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, contradictions: DataFrame, candidates: DataFrame | None, average_completeness: DataFrame, rot: DataFrame, unknown: Iterable[str] = ()) -> DataFrame:
+    """One row with a score for each dimension; contradictions are null without judged candidates, and so are the unknown dimensions.
 
     total_chunks and candidates are one-column tables of new chunks and of
     candidate pairs, average_completeness one row.
@@ -48,13 +50,14 @@ def dimensions(total_chunks: DataFrame, duplicates: DataFrame, stale: DataFrame,
     one = parts[0]
     for p in parts[1:]:
         one = one.crossJoin(F.broadcast(p))
-    return one.select(
-        (percent(F.col("d"), F.col("n")) if duplicates_known else F.lit(None).cast("double")).alias("duplication"),
-        F.coalesce("s", F.lit(100.0)).alias("staleness"),
-        F.when(F.col("k").isNotNull(), percent(F.col("c"), F.col("k"))).alias("contradictions"),
-        F.round(F.coalesce("m", F.lit(1.0)) * 100, 1).alias("metadata"),
-        F.when(F.col("r") == 0, 100.0).otherwise(F.round(F.col("h") / F.nullif(F.col("r"), F.lit(0)) * 100, 1)).alias("rot"),
-    )
+    made = {
+        "duplication": percent(F.col("d"), F.col("n")),
+        "staleness": F.coalesce("s", F.lit(100.0)),
+        "contradictions": F.when(F.col("k").isNotNull(), percent(F.col("c"), F.col("k"))),
+        "metadata": F.round(F.coalesce("m", F.lit(1.0)) * 100, 1),
+        "rot": F.when(F.col("r") == 0, 100.0).otherwise(F.round(F.col("h") / F.nullif(F.col("r"), F.lit(0)) * 100, 1)),
+    }
+    return one.select(*((F.lit(None).cast("double") if d in set(unknown) else c).alias(d) for d, c in made.items()))
 
 
 def overall(row: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def documents_with_issues(documents: DataFrame, *findings: DataFrame) -> DataFra
     return documents.select(F.col("document_id").cast("string")).join(named.distinct(), "document_id", "left_semi")
 
 
-def projected(chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, contradictions: DataFrame, contradiction_docs: DataFrame, candidates: DataFrame | None, rot: DataFrame, duplicates_known: bool = True) -> DataFrame:
+def projected(chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, contradictions: DataFrame, contradiction_docs: DataFrame, candidates: DataFrame | None, rot: DataFrame, unknown: Iterable[str] = ()) -> DataFrame:
     """The dimension scores once removable documents and duplicated and stale chunks are gone.
 
     Duplication is clean by then; the number of candidate pairs stays what it was.
@@ -87,7 +90,7 @@ def projected(chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, contra
     contra = contradictions.join(hit, "finding_id", "left_anti")
     rows = rot.join(gone, "document_id", "left_anti")
     complete = rows.agg(F.coalesce(F.avg("completeness"), F.lit(1.0)).alias("average_completeness"))
-    return dimensions(left.select("chunk_id"), duplicates.limit(0), fresh, contra, candidates, complete, rows, duplicates_known)
+    return dimensions(left.select("chunk_id"), duplicates.limit(0), fresh, contra, candidates, complete, rows, unknown)
 
 
 def counters(documents: DataFrame, chunks: DataFrame, duplicates: DataFrame, stale: DataFrame, superseded: DataFrame, contradictions: DataFrame, rot: DataFrame, issues: DataFrame) -> DataFrame:

@@ -59,7 +59,14 @@ def assess(chunks: DataFrame, now: datetime, meta_weight: float = META_WEIGHT, t
     found = found.withColumn("meta_score", F.when(F.col("meta_date").isNotNull(), D.age_score(D.whole_months(F.col("meta_date"), today))))
     both = F.greatest(meta_weight * F.col("meta_score") + text_weight * F.col("text_score"), F.col("text_score") * F.col("confidence"))
     score = F.when(F.col("meta_score").isNotNull() & F.col("text_score").isNotNull(), both).otherwise(F.coalesce("meta_score", "text_score", F.lit(0.5)))
-    return found.withColumns({"score": F.round(score, 3), "reference_date": F.coalesce("meta_date", F.col("text_date").cast("timestamp"))})
+    return settled(found.withColumns({"score": F.round(score, 3), "reference_date": F.coalesce("meta_date", F.col("text_date").cast("timestamp"))}), "score", "meta_score", "text_score", "confidence", "reference_date", "meta_date", "text_date", "dates", "cues", "versions")
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """df with columns of those names as a generator's output, which filters are not pushed through: each is worked out once a row, whatever asks for it."""
+    inner = F.struct(*(F.col(c).alias(c) for c in names))
+    rest = [F.col(c).alias(c) for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(inner)).alias(*names)).select(*(F.col(f"`{c}`") for c in df.columns))
 
 
 def recommendation() -> Column:
@@ -72,8 +79,27 @@ def recommendation() -> Column:
 
 
 def findings(assessed: DataFrame, floor: float = REPORT_FLOOR) -> DataFrame:
-    """The new chunks with a score above floor, by falling score."""
-    return assessed.where((F.col("side") == "new") & (F.col("score") > floor)).withColumn("recommendation", recommendation()).orderBy(F.desc("score"), "chunk_id")
+    """The new chunks with a score above floor; sinks put them in order of falling score."""
+    return assessed.where((F.col("side") == "new") & (F.col("score") > floor)).withColumn("recommendation", recommendation())
+
+
+def notes(now: datetime) -> Column:
+    """array<string>: what a finding's score rests on, as short sentences."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    age = lambda c: D.whole_months(F.col(c), F.lit(now).cast("timestamp")).cast("string")
+    said = lambda c, *parts: F.when(F.col(c).isNotNull(), F.concat(*parts))
+    return F.array_compact(F.array(
+        said("meta_date", F.lit("Dated "), day("meta_date"), F.lit(" by its metadata")),
+        said("text_date", F.lit("Latest date in the text is "), day("text_date")),
+        said("meta_date", age("meta_date"), F.lit(" months old by its metadata")),
+        said("text_date", age("text_date"), F.lit(" months old by its text")),
+    ))
+
+
+def date_labels() -> Column:
+    """array<string>: the metadata dates of a chunk."""
+    one = lambda name, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{name} "), F.date_format(c, "yyyy-MM-dd")))
+    return F.array_compact(F.array(one("Created", "created_at"), one("Modified", "modified_at")))
 
 
 def supersessions(pairs: DataFrame, assessed: DataFrame, floor: float = SUPERSEDE) -> DataFrame:

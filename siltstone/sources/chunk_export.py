@@ -56,7 +56,7 @@ def normalise(rows: DataFrame) -> DataFrame:
         text.alias("text"),
         first_string("m", ALIASES["document_id"]).alias("document_id"),
         first_string("m", ALIASES["filename"]).alias("filename"),
-        F.coalesce(first_int("m", ALIASES["chunk_index"]), F.col("ordinal").cast("int")).alias("chunk_index"),
+        F.coalesce(first_int("m", ALIASES["chunk_index"]), F.pmod("ordinal", F.lit(1 << 31)).cast("int")).alias("chunk_index"),
         F.greatest(start, F.lit(0)).alias("start_char"),
         F.greatest(end, start).alias("end_char"),
         merged.alias("metadata"),
@@ -70,6 +70,8 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True).select(F.col("value").alias("j"))
     listed = lambda c: F.when(F.ltrim(c).startswith("["), F.from_json(c, "array<string>"))
     rows = F.coalesce(listed(F.col("j")), *(listed(F.get_json_object("j", f"$.{k}")) for k in ("chunks", "data", "items", "results")))
+    if not text.where(rows.isNull()).isEmpty():
+        raise ExportError("the export is neither a JSON array nor an object with chunks, data, items or results")
     objects = F.filter(rows, lambda x: F.ltrim(x).startswith("{"))
     found = text.select(F.posexplode(objects).alias("ordinal", "o")).select("ordinal", F.from_json("o", "map<string,string>").alias("m")).where("m IS NOT NULL")
     return found.withColumn("ordinal", F.col("ordinal").cast("long"))

@@ -30,11 +30,11 @@ def front_matter(raw: str) -> tuple[dict, str]:
     """(front matter, body); the text as it is and nothing when there is none or it is no mapping."""
     if not raw.startswith("---\n"):
         return {}, raw
-    end = raw.find("\n---\n", 4 - 1)
+    end = raw.find("\n---\n", 4)
     if end < 0:
         return {}, raw
     try:
-        found = _mapping(raw[4 : end + 1])
+        found = _mapping(raw[4:end])
     except ValueError:
         return {}, raw
     return (found, raw[end + 5 :].lstrip("\n")) if found is not None else ({}, raw)
@@ -49,7 +49,7 @@ def _mapping(block: str) -> dict | None:
         got = yaml.safe_load(block)
     except yaml.YAMLError as e:
         raise ValueError(str(e)) from e
-    return {str(k): v for k, v in got.items()} if isinstance(got, dict) else None
+    return {str(k): v for k, v in got.items()} if isinstance(got, dict) else None if got else {}
 
 
 def _plain_mapping(block: str) -> dict | None:
@@ -62,7 +62,7 @@ def _plain_mapping(block: str) -> dict | None:
         if not m:
             raise ValueError(line)
         out[m.group(1)] = _plain_value((m.group(2) or "").strip())
-    return out or None
+    return out
 
 
 def _plain_value(v: str):
@@ -96,7 +96,8 @@ def tagged(values: dict) -> dict[str, dict[str, str]]:
 def _docx(content: bytes) -> tuple[str, dict]:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{_W}body")
-        lines = ["".join(t.text or "" for t in p.iter(f"{_W}t")) for p in (body.findall(f"{_W}p") if body is not None else [])]
+        marks = {f"{_W}tab": "\t", f"{_W}br": "\n", f"{_W}cr": "\n", f"{_W}noBreakHyphen": "-"}
+        lines = ["".join(t.text or "" if t.tag == f"{_W}t" else marks.get(t.tag, "") for r in p.iter(f"{_W}r") for t in r) for p in (body.findall(f"{_W}p") if body is not None else [])]
         core = {}
         if "docProps/core.xml" in z.namelist():
             for e in ElementTree.fromstring(z.read("docProps/core.xml")):
@@ -164,7 +165,7 @@ def parse_files(files: DataFrame, modified: DataFrame | None = None) -> DataFram
     raw = files.select("path", "content", "length").mapInArrow(_rows, f"path string, length bigint, text string, embedded map<string,{VALUE}>, frontmatter map<string,{VALUE}>, error string")
     name = F.element_at(F.split("path", "/"), -1)
     when = lambda *keys: F.coalesce(*(D.document_datetime(F.try_element_at("embedded", F.lit(k))["v"]) for k in keys))
-    docs = raw.select(F.sha2("path", 256).alias("document_id"), name.alias("filename"), F.col("length").alias("file_size"), "text", "embedded", "frontmatter", "error", F.col("path").alias("source_path"), when("created", "creationDate", "CreationDate").alias("created_at"), when("modified", "modDate", "ModDate").alias("file_modified"))
+    docs = raw.withColumn("ordinal", F.monotonically_increasing_id()).select("ordinal", F.sha2("path", 256).alias("document_id"), name.alias("filename"), F.col("length").alias("file_size"), "text", "embedded", "frontmatter", "error", F.col("path").alias("source_path"), when("created", "creationDate", "CreationDate").alias("created_at"), when("modified", "modDate", "ModDate").alias("file_modified"))
     if modified is None:
         return docs.withColumnRenamed("file_modified", "modified_at")
     return docs.join(modified.select("filename", F.col("modified_at").alias("client")), "filename", "left").withColumn("modified_at", F.coalesce("client", "file_modified")).drop("client", "file_modified")
@@ -174,6 +175,15 @@ def read(spark: SparkSession, path: str, modified: DataFrame | None = None) -> D
     return parse_files(spark.read.format("binaryFile").load(path), modified)
 
 
+def upload(spark: SparkSession, path: str, modified: DataFrame | None = None) -> DataFrame:
+    """Documents of an upload's folder, or an error when it exceeds what an upload may hold; what cannot be read has an error for a text."""
+    files = guarded(spark.read.format("binaryFile").load(path))
+    odd = [r["path"].rpartition("/")[2] for r in files.select("path").collect() if not r["path"].lower().endswith(EXTENSIONS)]
+    if odd:
+        raise ParseError(f"unsupported file {odd[0]}")
+    return parse_files(files, modified)
+
+
 def client_modified(spark: SparkSession, text: str | None) -> DataFrame:
     """(filename, modified_at) of a JSON object; what is no time is left out."""
     one = spark.createDataFrame([(text or "{}",)], "j string").select(F.explode(F.from_json("j", "map<string,string>")).alias("filename", "raw"))

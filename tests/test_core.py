@@ -1,14 +1,17 @@
 """Chunking, dates, similarity, the passes and scoring on literal cases."""
 
+import json
 from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from siltstone import errors
 from siltstone.functions import dates as D
 from siltstone.operators import chunker, contradiction, duplication, embedding, metadata, rot, scoring, similarity, staleness, validation
+from siltstone.plans import precompute
 from siltstone.plans.audit import AuditConfig, audit
-from siltstone.sources import chunk_export, documents, reports
+from siltstone.sources import chunk_export, documents, reports, samples
 
 NOW = datetime(2026, 3, 15)
 
@@ -133,7 +136,7 @@ def test_metadata(spark):
         ("2", 1, "finance-policy.md", 1, datetime(2026, 1, 1), datetime(2026, 1, 1), {"title": s("Finance")}, {"author": s("Ann"), "version": s("2"), "category": s("policy")}),
     ]
     got = metadata.assess(spark.createDataFrame(rows, DOC))
-    assert [r.completeness for r in got.collect()] == [0.167, 1.0]
+    assert sorted(r.completeness for r in got.collect()) == [0.167, 1.0]
     assert metadata.summary(got).first().average_completeness == pytest.approx(0.584, abs=6e-4)
     assert {r.field: r.documents for r in metadata.missing_counts(got).collect()}["title"] == 1
 
@@ -192,8 +195,8 @@ def test_precision_and_finalize(spark):
 
 
 def test_front_matter_and_parse():
-    front, body = documents.front_matter("---\ntitle: Guide\nteam: Search\n---\n\nBody text")
-    assert front == {"title": "Guide", "team": "Search"} and body == "Body text"
+    front, body = documents.front_matter("---\ntitle: Guide\nunit: Retrieval\n---\n\nBody text")
+    assert front == {"title": "Guide", "unit": "Retrieval"} and body == "Body text"
     assert documents.front_matter("--- no") == ({}, "--- no")
     for name, content in (("a.xlsx", b"x"), ("a.txt", b""), ("a.txt", b"  "), ("a.docx", b"broken")):
         with pytest.raises(documents.ParseError):
@@ -215,7 +218,7 @@ def test_json_export(spark, tmp_path):
     r = chunk_export.read(spark, str(p)).collect()
     assert len(r) == 1 and (r[0].document_id, r[0].chunk_index, r[0].start_char, r[0].end_char) == ("d", 2, 10, 28)
     assert r[0].embedding == [1.0, 2.0, 3.0] and r[0].metadata == {"source": "s"}
-    p.write_text('[{"document_name": "existing.md"}]')
+    p.write_text('[{"document_name": "stored.md"}]')
     with pytest.raises(chunk_export.ExportError):
         chunk_export.read(spark, str(p))
 
@@ -243,3 +246,126 @@ def test_audit_end_to_end(spark, tmp_path):
     reports.write_json(result, str(tmp_path / "json"))
     back = reports.load_json(spark, str(tmp_path / "json"), "rot", result.rot.schema)
     assert back.count() == 4
+
+
+def test_staleness_is_worked_out_once(spark):
+    """A filter on the score must not write the date expressions out again."""
+    chunks = spark.createDataFrame([("c", "new", "dated 2019-01-01", None, None)], "chunk_id string, side string, text string, created_at timestamp, modified_at timestamp")
+    plan = staleness.findings(staleness.assess(chunks, NOW))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") <= 6
+
+
+def test_aliases_and_generic_names(spark):
+    names = {f: c for f, c, _ in metadata.resolve_fields(["Title or meaningful filename", "author_or_owner", "Version information", "product-version", "document category", "Last modified", "creation date", "name", "authors"])}
+    assert list(names.values()) == ["title", "author", "version", "version", "document type", "modified date", None, None, None]
+    rows = [(n, i, n + ".txt", 1, None, None, {}, {}) for i, n in enumerate(("scan", "Scan 12", "file_3", "document-7", "doc  4", "scan_", "report"))]
+    got = {r.document_id: r.missing_fields for r in metadata.assess(spark.createDataFrame(rows, DOC), ["title"]).collect()}
+    assert {k for k, v in got.items() if v} == {"scan", "Scan 12", "file_3", "document-7"}
+
+
+def test_empty_front_matter():
+    assert documents.front_matter("---\n\n---\nBody") == ({}, "Body")
+    assert documents.front_matter("---\n---\nBody") == ({}, "---\n---\nBody")
+
+
+def docx(text):
+    import io
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document xmlns:w="{w}"><w:body><w:p><w:r><w:t>{text}</w:t><w:tab/><w:t>b</w:t><w:br/><w:t>c</w:t></w:r></w:p></w:body></w:document>')
+    return out.getvalue()
+
+
+def test_docx_keeps_tabs_and_breaks():
+    assert documents.parse("a.docx", docx("a"))[0] == "a\tb\nc"
+
+
+def test_malformed_exports_raise(spark, tmp_path):
+    for text in ('{"chunks": [', '{"other": []}', '"x"'):
+        (tmp_path / "bad.json").write_text(text)
+        with pytest.raises(chunk_export.ExportError):
+            chunk_export.read(spark, str(tmp_path / "bad.json"))
+
+
+def test_audit_of_a_folder(spark, tmp_path):
+    """Files, one of them broken, from upload to report and back."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    (folder / "a.md").write_text("---\ntitle: Guide\nauthor: Ann\n---\n\nThe guide of " + " ".join(f"point{i} counts" for i in range(40)))
+    (folder / "b.docx").write_bytes(docx("Words in a file"))
+    (folder / "c.pdf").write_bytes(b"nope")
+    asked = []
+    result = audit(documents.upload(spark, str(folder)), AuditConfig(NOW, substantial=lambda t: asked.append(t) or False))
+    assert result.warnings == ["1 documents could not be read"]
+    rows = {r.filename: r for r in result.rot.collect()}
+    assert set(rows) == {"a.md", "b.docx"} and rows["b.docx"].classifications == ["trivial"] and "words a chunk" in rows["b.docx"].explanation and rows["b.docx"].impact.startswith("If indexed")
+    assert rows["a.md"].explanation.endswith("nothing to object to")
+    assert all(r.notes is not None for r in result.staleness.collect())
+    back = reports.load_payload(spark, json.loads(json.dumps(reports.payload(result))))
+    for name in reports.TABLES:
+        assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, getattr(result, name).collect())), name
+    (folder / "d.xlsx").write_bytes(b"x")
+    with pytest.raises(documents.ParseError):
+        documents.upload(spark, str(folder))
+    with pytest.raises(documents.ParseError):
+        documents.guarded(spark.read.format("binaryFile").load(str(folder)), documents=3)
+
+
+def test_substance_judge_decides_open_documents(spark):
+    text = " ".join(f"w{i % 14} text" for i in range(17))
+    docs = documents.from_table(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", F.lit("x.txt"))
+    label = lambda f: audit(docs, AuditConfig(NOW, substantial=f)).rot.first().classifications
+
+    def broken(_):
+        raise OSError("down")
+
+    assert label(None) == ["healthy"] == label(lambda t: True) == label(broken) and label(lambda t: False) == ["trivial"]
+
+
+def test_a_failing_pass_does_not_end_the_others(spark, monkeypatch):
+    docs = documents.from_table(spark.createDataFrame([(1, "some words dated 2019-01-01 here"), (2, "others stand in this one")], "id long, text string"), "id", "text", F.lit("x.txt"))
+
+    def broken(*_):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(staleness, "assess", broken)
+    monkeypatch.setattr(metadata, "assess", broken)
+    result = audit(docs, AuditConfig(NOW))
+    row = result.health.first()
+    assert row.staleness is None and row.metadata is None and row.duplication == 100.0 and row.rot is not None
+    assert len(result.warnings) >= 2 and result.rot.count() == 2
+
+
+def test_audit_without_embedder_and_without_chunks(spark):
+    docs = documents.from_table(spark.createDataFrame([(1, "some words")], "id long, text string"), "id", "text", F.lit("x.txt"))
+    row = audit(docs, AuditConfig(NOW, embedder=None)).health.first()
+    assert row.duplication is None and set(row.skipped) == {"duplication", "contradictions"}
+    none = audit(docs.where("false"), AuditConfig(NOW))
+    assert none.warnings == ["no chunk was made"] and none.rot.count() == 0 and none.counters.first().chunks == 0
+
+
+def test_service_errors():
+    status = lambda code, text="": type("E", (Exception,), {"status_code": code})(text)
+    kinds = [errors.classified(e) for e in (status(401), status(402), status(429, "insufficient_quota"), status(429), TimeoutError(), Exception("Connection reset"), Exception("odd"))]
+    assert [type(k) for k in kinds] == [errors.KeyRejected, errors.QuotaExhausted, errors.QuotaExhausted, errors.RateLimited, errors.Unreachable, errors.Unreachable, errors.ServiceError]
+
+
+def test_benchmark_roll_up(spark):
+    audits = spark.createDataFrame([("a", 5, 8, 72.5, 2, 1, 1, 1), ("b", 7, 12, 68.0, 1, 2, 2, 2)], "dataset string, documents long, chunks long, health double, duplicates long, contradictions long, stale long, rot long")
+    judged = validation.precision(spark.createDataFrame([("x", True), ("x", False), ("y", True), ("y", True)], "category string, correct boolean"))
+    total = validation.roll_up(audits, judged)
+    row = total.first()
+    assert (row.datasets, row.documents, row.issues, row.judged, row.precision, row.mean_health) == (2, 12, 12, 4, 0.75, 70.3)
+    assert "| a | 5 | 72.5 |" in validation.markdown(audits, total) and "75.0 %" in validation.markdown(audits, total)
+    assert "No findings have been judged yet." in validation.markdown(audits, validation.roll_up(audits))
+    flat = spark.createDataFrame([("staleness", "high", "1", "f"), ("staleness", "high", "1", "f"), ("rot", "outdated", "1", "g"), ("rot", "trivial", "2", "h")], "category string, subcategory string, document_id string, finding_id string")
+    assert sorted(r.finding_id for r in validation.for_validation(flat, flat.where("category = 'staleness'")).collect()) == ["f", "h"]
+
+
+def test_precompute(spark, tmp_path):
+    (tmp_path / "s.json").write_text(json.dumps([{"filename": "a.txt", "title": "A", "text": "some words in here"}]))
+    made = precompute.precompute(spark, samples.SampleRegistry({"s": str(tmp_path / "s.json")}), str(tmp_path / "out"), NOW)
+    assert [p.name for p in made] == ["s.json"] and json.loads(made[0].read_text())["tables"]["rot"]["rows"][0]["filename"] == "a.txt"
