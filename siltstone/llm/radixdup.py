@@ -1,10 +1,14 @@
 """Exact duplicates by distributed MSD radix partitioning.
 
-Equality never rests on a digest. The driver splits the space of texts into
-ranges by their leading bytes: a prefix that holds too many bytes of text is
-split again by its next bytes, of doubling number, until every range is small
-or its texts have ended. Batches first collapse their own copies, so that a
-text with very many copies crosses the network once a batch at most; ranges
+Equality never rests on a digest. The space of texts is split into ranges by
+their leading bytes: a prefix that holds too many bytes of text is split again
+by its next bytes, of doubling number, until every range is small or its texts
+have ended. The first 64 bytes of all texts are written once and counted there;
+only prefixes that are longer are counted in the texts. At most 4000 ranges are
+named; where that makes them larger than ``range_bytes``, each is dealt into as
+many parts as it needs by a checksum, which decides where texts meet and not
+whether they are equal. Batches first collapse their own copies, so that a
+text with very many copies crosses the network once a batch at most; parts
 are then refined byte by byte until each group is a singleton or has ended.
 
 Null texts equal nothing. Empty texts equal each other. A null id is greater
@@ -16,6 +20,7 @@ table gives an empty result; columns of any name are carried along.
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.operators.lineage import materialise
+
 from .rows import ID, TEXT, small_batches
 from .textvec import utf8
 
-RANGE_BYTES, MOST_RANGES = 16 << 20, 4000
+RANGE_BYTES, MOST_RANGES, _HEAD = 16 << 20, 4000, 64
 
 
 def equal_groups(texts: pa.Array) -> np.ndarray:
@@ -78,17 +85,18 @@ def equal_groups(texts: pa.Array) -> np.ndarray:
     return label
 
 
-def split_points(texts: DataFrame, range_bytes: int = RANGE_BYTES) -> list[bytes]:
-    """Ascending byte strings that cut the texts (one column, t) into ranges of about range_bytes."""
-    raw = texts.where("t IS NOT NULL").select(F.encode("t", "UTF-8").alias("b"))
-    width, depth, limit = 2, 0, range_bytes
+def split_points(texts: DataFrame, range_bytes: int = RANGE_BYTES) -> tuple[list[bytes], np.ndarray]:
+    """(ascending byte strings that cut the texts, one column t, into ranges; number of parts of each range)."""
+    raw = texts.where("t IS NOT NULL").select(F.encode("t", "UTF-8").alias("b")).select("b", F.octet_length("b").alias("size"))
+    heads = materialise(raw.select(F.substring("b", 1, _HEAD).alias("b"), "size"), "heads")
+    limit = max(range_bytes, (heads.agg(F.sum("size")).first()[0] or 0) // MOST_RANGES)
+    width, depth = 2, 0
     heavy: list[bytes] = []
     leaves: dict[bytes, int] = {}
     while True:
-        level = raw.where(F.substring("b", 1, depth).isin(heavy)) if depth else raw
-        found = level.groupBy(F.substring("b", 1, depth + width).alias("p")).agg(F.sum(F.octet_length("b") + 16).alias("n"), F.max(F.octet_length("b")).alias("most"))
-        if not depth:
-            limit = max(range_bytes, (raw.agg(F.sum(F.octet_length("b"))).first()[0] or 0) // MOST_RANGES)
+        level = heads if depth + width <= _HEAD else raw
+        level = level.where(F.substring("b", 1, depth).isin(heavy)) if depth else level  # no more of them than ranges
+        found = level.groupBy(F.substring("b", 1, depth + width).alias("p")).agg(F.sum(F.col("size") + 16).alias("n"), F.max("size").alias("most"))
         rows = found.collect()
         depth += width
         width = depth
@@ -99,15 +107,16 @@ def split_points(texts: DataFrame, range_bytes: int = RANGE_BYTES) -> list[bytes
             if r["n"] > limit and r["most"] > depth and len(p) == depth:
                 heavy.append(p)
                 leaves[p] = 0
-        if not heavy or depth > 1 << 20:
+        if not heavy:
             break
-    cuts, held = [], 0
+    cuts, totals, held = [], [], 0
     for p in sorted(leaves):
         if held and held + leaves[p] > limit:
             cuts.append(p)
+            totals.append(held)
             held = 0
         held += leaves[p]
-    return cuts
+    return cuts, np.maximum(-(-np.array([*totals, held], np.int64) // range_bytes), 1)
 
 
 def _columns(docs: DataFrame) -> tuple[DataFrame, T.StructType]:
@@ -126,13 +135,21 @@ def _least(table: pa.Table, label: np.ndarray, ids: int) -> np.ndarray:
     return keep
 
 
-def _buckets(texts: pa.Array, cuts: list[bytes]) -> pa.Array:
-    """The range of each text; a null text is put somewhere by its row number, as it meets no other."""
+def _buckets(texts: pa.Array, cuts: list[bytes], parts: np.ndarray) -> pa.Array:
+    """The part of its range that each text belongs to; a null text is put somewhere by its row number, as it meets no other."""
+    base = (np.cumsum(parts) - parts).tolist()
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     deep = max(map(len, cuts), default=0)
     raw = texts.cast(pa.large_binary())
     head = pc.binary_slice(raw.cast(pa.binary()) if raw.nbytes < 1 << 31 else raw, 0, max(deep, 1)).to_pylist()
-    return pa.array([i % (len(cuts) + 1) if b is None else bisect.bisect_right(cuts, b) for i, b in enumerate(head)], pa.int32())
+    out = []
+    for i, b in enumerate(head):
+        if b is None:
+            out.append(i % int(parts.sum()))
+            continue
+        r = bisect.bisect_right(cuts, b)
+        out.append(base[r] + (zlib.crc32(raw[i].as_buffer()) % int(parts[r]) if parts[r] > 1 else 0))
+    return pa.array(out, pa.int32())
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -140,13 +157,13 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEX
     names = docs.columns
     plain, schema = _columns(docs)
     ids, text = names.index(id_col), names.index(text_col)
-    cuts = split_points(plain.select(F.col(f"c{text}").alias("t")), range_bytes)
+    cuts, parts = split_points(plain.select(F.col(f"c{text}").alias("t")), range_bytes)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = _least(b, equal_groups(b.column(text)), ids)
             b = b.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([*b.columns, _buckets(b.column(text), cuts)], names=[*b.schema.names, "bucket"])
+            yield pa.RecordBatch.from_arrays([*b.columns, _buckets(b.column(text), cuts, parts)], names=[*b.schema.names, "bucket"])
 
     def whole(table: pa.Table) -> pa.Table:
         keep = _least(table, equal_groups(table.column(text).combine_chunks()), ids)
@@ -160,7 +177,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, ra
     """(doc_id, keep_id, copies) of each row whose text another row has; keep_id is the least id that is not null."""
     kind = docs.schema[id_col].dataType
     pair = small_batches(docs).select(docs[id_col].alias("i"), docs[text_col].alias("t"))
-    cuts = split_points(pair.select("t"), range_bytes)
+    cuts, parts = split_points(pair.select("t"), range_bytes)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,7 +187,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = ID, text_col: str = TEXT, ra
             starts = np.flatnonzero(np.r_[True, label[order][1:] != label[order][:-1]]) if len(order) else np.zeros(0, np.int64)
             ids = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)).astype(np.int32)), b.column(0).take(pa.array(order)))
             texts = b.column(1).take(pa.array(order[starts]))
-            yield pa.RecordBatch.from_arrays([ids, texts, _buckets(texts, cuts)], names=["ids", "t", "bucket"])
+            yield pa.RecordBatch.from_arrays([ids, texts, _buckets(texts, cuts, parts)], names=["ids", "t", "bucket"])
 
     def whole(table: pa.Table) -> pa.Table:
         label = equal_groups(table.column("t").combine_chunks())

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +23,8 @@ def _lean_memory() -> None:
         pass  # another C library; memory is kept for later tasks
 
 
-_lean_memory()
+if TaskContext.get() is not None:  # in workers only
+    _lean_memory()
 
 
 def small_batches(df: DataFrame) -> DataFrame:

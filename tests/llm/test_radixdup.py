@@ -33,8 +33,20 @@ def test_duplicates_equal_brute_force_for_all_range_sizes(spark):
 
 def test_cuts_split_shared_prefixes(spark):
     docs = spark.createDataFrame([("licence " * 20 + str(i),) for i in range(50)], "t string")
-    cuts = radixdup.split_points(docs, 2000)
-    assert len(cuts) > 2 and cuts == sorted(cuts)
+    cuts, parts = radixdup.split_points(docs, 2000)
+    assert len(cuts) > 2 and cuts == sorted(cuts) and len(parts) == len(cuts) + 1 and parts.max() <= 2
+
+
+def test_more_parts_than_ranges(spark, monkeypatch):
+    """With few ranges allowed, texts are dealt into parts, and copies still meet."""
+    monkeypatch.setattr(radixdup, "MOST_RANGES", 3)
+    rows = [(i, f"text number {i % 100} " * 10) for i in range(250)] + [(None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cuts, parts = radixdup.split_points(docs.selectExpr("text AS t"), 1000)
+    assert len(parts) <= 8 and parts.sum() > 20
+    got = radixdup.exact_duplicates(docs, range_bytes=1000).collect()
+    assert sorted(map(tuple, got)) == sorted((i, i % 100, 3 if i % 100 < 50 else 2) for i in range(250))
+    assert radixdup.drop_exact_duplicates(docs, range_bytes=1000).count() == 101
 
 
 def test_odd_rows(odd, none):
