@@ -12,7 +12,7 @@ written twice, as the format stores short inputs that gain little as they are.
 Distances are calibrated on texts that the dictionaries have not seen: each
 distance weighs the logarithm of its frequency in toxic texts over that in
 ordinary ones, and a text is toxic when its distinct windows' weights add up to
-more than all but ``REJECT_RATE`` of the ordinary texts' do. Nothing is looked
+more than all but ``REJECT_RATE`` of the ordinary texts' do, one at least left out. Nothing is looked
 up in a list of words: any window that shares its stems with toxic text is
 shortened.
 
@@ -27,6 +27,7 @@ whatever their names.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -195,7 +196,7 @@ def train(toxic: list[str], ordinary: list[str], reject_rate: float = REJECT_RAT
     w[: 1 - _LOW] = np.minimum(w[: 1 - _LOW], 0)
     scores = np.sort(np.bincount(row, w[good], minlength=len(unseen)))[::-1]
     model.weights = w.tolist()
-    model.threshold = max(float(scores[min(int(reject_rate * len(scores)), len(scores) - 1)]), _LEAST_SCORE)
+    model.threshold = max(float(scores[min(math.ceil(reject_rate * len(scores)), len(scores) - 1)]), _LEAST_SCORE)
     return model
 
 
