@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,26 +47,26 @@ def scores(chunks: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
     cells = cells.select("chunk_id", "embedding", F.explode(F.when(F.col("is_new"), mine).otherwise(right_old)).alias("c")).select("chunk_id", "embedding", "c.*")
 
     def multiply(table: pa.Table) -> pa.Table:
-        other, hand = table["other"][0].as_py(), np.array(table["hand"].to_pylist())
-        ids = np.array(table["chunk_id"].to_pylist(), dtype=object)
-        v = np.array(table["embedding"].to_pylist(), dtype=np.float64)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        a, b = np.flatnonzero(hand == "l"), np.flatnonzero(hand == "r")
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        other, same = table["other"][0].as_py(), table["i"][0].as_py() == table["j"][0].as_py()
+        ids, vectors = table["chunk_id"].combine_chunks(), table["embedding"].combine_chunks()
+        v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        is_left = pc.equal(table["hand"], "l").to_numpy()
+        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         for at in range(0, len(a), 1024):
             s = v[a[at : at + 1024]] @ v[b].T
             x, y = np.nonzero(s >= floor - 1e-12)
-            left, right, score = ids[a[at + x]], ids[b[y]], s[x, y]
-            if other == "new":
-                if table["i"][0].as_py() == table["j"][0].as_py():
-                    ok = left < right
-                    left, right, score = left[ok], right[ok], score[ok]
-                else:
-                    swap = left > right
-                    left, right = np.where(swap, right, left), np.where(swap, left, right)
-            out.append((left, right, score))
-        left, right, score = (np.concatenate(x) for x in zip(*out)) if out else ([], [], [])
-        return pa.table({"left_id": pa.array(left, pa.string()), "right_id": pa.array(right, pa.string()), "score": pa.array(score, pa.float64()), "scope": pa.array([f"new_vs_{other}"] * len(left), pa.string())})
+            found.append((a[at + x], b[y], s[x, y]))
+        x, y, score = (np.concatenate(z) for z in zip(*found))
+        if other == "new":
+            less = pc.less(ids.take(pa.array(x)), ids.take(pa.array(y))).to_numpy(zero_copy_only=False)
+            if same:
+                x, y, score = x[less], y[less], score[less]
+            else:
+                x, y = np.where(less, x, y), np.where(less, y, x)
+        left, right = (ids.take(pa.array(z)) for z in (x, y))
+        return pa.table({"left_id": left, "right_id": right, "score": pa.array(score), "scope": pa.array([f"new_vs_{other}"] * len(x), pa.string())})
 
     return cells.groupBy("other", "i", "j").applyInArrow(multiply, PAIRS)
 

@@ -63,3 +63,21 @@ def test_stages_keep_the_columns(spark, folder):
     for _, stage in pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder[0]).columns == docs.columns
         assert stage(spark, docs.where("false"), folder[0]).count() == 0
+
+
+def test_stages_take_odd_rows(spark, folder, odd, none):
+    """Nulls in any column, empty and very long texts, repeated rows, equal ids, clashing names; and the empty table in every stage."""
+    docs = odd
+    left = {}
+    for name, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, folder[0])
+        assert docs.columns == odd.columns, name
+        left[name] = docs.count()
+        assert stage(spark, none, folder[0]).count() == 0, name
+    rows = odd.count()
+    # exact copies: five rows of one text give one, two empty ones one, two long ones one
+    assert left["toxicity"] == rows and left["exact dedup"] == 8 and left["near dedup"] == left["pii"] <= 8
+    windows = pipeline.pack_windows(spark, docs, folder[0]).collect()
+    ids = [d for r in windows for d, a in zip(r.doc_ids, r.starts) if a == 0]
+    assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in docs.where("text <> ''").collect())
+    assert pipeline.pack_windows(spark, none, folder[0]).count() == 0

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from siltstone import errors
 from siltstone.functions import dates as D
-from siltstone.operators import chunker, contradiction, duplication, embedding, metadata, rot, scoring, similarity, staleness, validation
+from siltstone.operators import chunker, contradiction, duplication, embedding, lineage, metadata, rot, scoring, similarity, staleness, validation
 from siltstone.plans import precompute
 from siltstone.plans.audit import AuditConfig, audit
-from siltstone.sources import chunk_export, documents, reports, samples
+from siltstone.sources import chunk_export, documents, reports, samples, views
 
 NOW = datetime(2026, 3, 15)
 
@@ -304,6 +304,10 @@ def test_audit_of_a_folder(spark, tmp_path):
     assert set(rows) == {"a.md", "b.docx"} and rows["b.docx"].classifications == ["trivial"] and "words a chunk" in rows["b.docx"].explanation and rows["b.docx"].impact.startswith("If indexed")
     assert rows["a.md"].explanation.endswith("nothing to object to")
     assert all(r.notes is not None for r in result.staleness.collect())
+    shown = {n: [r.asDict() for r in v.collect()] for n, v in views.views(result).items()}
+    assert {r["dimension"] for r in shown["cards"]} == {"overall", *views.DIMENSIONS} and next(r for r in shown["cards"] if r["dimension"] == "contradictions")["level"] == "unknown"
+    assert {r["filename"]: r["labels"] for r in shown["rot"]} == {"a.md": ["Healthy"], "b.docx": ["Trivial"]}
+    assert all(r["label"] in ("high", "review", "fresh") for r in shown["staleness"]) and {r["level"] for r in shown["metadata"]} <= {"good", "fair", "poor"}
     back = reports.load_payload(spark, json.loads(json.dumps(reports.payload(result))))
     for name in reports.TABLES:
         assert sorted(map(str, getattr(back, name).collect())) == sorted(map(str, getattr(result, name).collect())), name
@@ -369,3 +373,29 @@ def test_precompute(spark, tmp_path):
     (tmp_path / "s.json").write_text(json.dumps([{"filename": "a.txt", "title": "A", "text": "some words in here"}]))
     made = precompute.precompute(spark, samples.SampleRegistry({"s": str(tmp_path / "s.json")}), str(tmp_path / "out"), NOW)
     assert [p.name for p in made] == ["s.json"] and json.loads(made[0].read_text())["tables"]["rot"]["rows"][0]["filename"] == "a.txt"
+
+
+def test_views_of_duplicates_and_contradictions(spark):
+    docs = documents.from_table(spark.createDataFrame([(1, "some words stand here"), (2, "some words stand here"), (3, "others altogether in this")], "id long, text string"), "id", "text", F.concat(F.lit("n"), "id", F.lit(".txt")))
+    answer = '{"status": "CONTRADICTION", "severity": "high", "claim_a": "p", "claim_b": "q"}'
+    result = audit(docs, AuditConfig(NOW, band=(0.0, 1.0), judge=lambda p: (answer, None, None)))
+    shown = views.views(result)
+    one = shown["duplication"].first()
+    assert one.label == "The same text" and one.sources == ["n1.txt #1", "n2.txt #1"] and one.similarity == "100 %" and one.action == "Keep one of them"
+    assert {(r.label, r.line) for r in shown["contradictions"].collect()} == {("High", "p / q")}
+
+
+def test_shared_folder(spark, tmp_path, monkeypatch):
+    before = lineage.release(spark)
+    kept = lineage.materialise(spark.range(5), "five")
+    assert before >= 0 and kept.count() == 5 and lineage.release(spark) == 1 and lineage.release(spark) == 0
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError):
+        lineage.shared_folder(Cluster)
