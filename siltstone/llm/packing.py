@@ -252,14 +252,25 @@ def frequencies(vecs: DataFrame) -> tuple[int, np.ndarray]:
 def placed(vecs: DataFrame, n: int, idf: np.ndarray, region_docs: int = REGION_DOCS, fit: int = FIT) -> DataFrame:
     """vecs with their region."""
     wanted = min(-(-3 * n // (2 * region_docs)), _MOST_CENTROIDS) if n > region_docs else 1
-    sample = np.zeros((0, _FOLD), np.float32)
+    places = Places(np.zeros((0, _FOLD), np.float32), 1)
     if wanted > 1:
-        few = vecs.where(F.pmod("salt", F.lit(1 << 40)) < int(min(1.0, fit / n) * (1 << 40))).select("cells", "counts").limit(2 * fit).toArrow()
-        row, cell = _flat(few["cells"], np.uint16)
-        cell, count = cell.astype(np.int64), _flat(few["counts"], np.float16)[1].astype(np.float64)
-        w = weights(row, cell, count, idf, few.num_rows)
-        sample = np.concatenate([_folded(row[a:b] - i, cell[a:b], w[a:b], min(1024, few.num_rows - i)) for i in range(0, few.num_rows, 1024) for a, b in [np.searchsorted(row, [i, i + 1024])]] or [sample])
-    places = Places(sample, wanted)
+
+        def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """One row with what Places learns from the sample, so that the folded sample is never in the driver."""
+            few = pa.Table.from_batches(batches, pa.schema([("cells", pa.binary()), ("counts", pa.binary())]))
+            row, cell = _flat(few["cells"], np.uint16)
+            cell, count = cell.astype(np.int64), _flat(few["counts"], np.float16)[1].astype(np.float64)
+            w = weights(row, cell, count, idf, few.num_rows)
+            sample = np.zeros((few.num_rows, _FOLD), np.float32)
+            for i in range(0, few.num_rows, 1024):
+                a, b = np.searchsorted(row, [i, i + 1024])
+                sample[i : i + 1024] = _folded(row[a:b] - i, cell[a:b], w[a:b], min(1024, few.num_rows - i))
+            found = Places(sample, wanted)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (found.base, found.centroids, found.sample)], names=["base", "centroids", "sample"])
+
+        few = vecs.where(F.pmod("salt", F.lit(1 << 40)) < int(min(1.0, fit / n) * (1 << 40))).select("cells", "counts").limit(2 * fit).repartition(1)
+        got = few.mapInArrow(fitted, "base binary, centroids binary, sample binary").first()
+        places.base, places.centroids, places.sample = (np.frombuffer(got[c], np.float32).reshape(-1, _DIMS) for c in ("base", "centroids", "sample"))
 
     def cells_of(b: pa.RecordBatch, cells: pa.Array, counts: pa.Array) -> np.ndarray:
         row, cell = _flat(cells, np.uint16)

@@ -121,3 +121,15 @@ def test_odd_rows(odd, none):
     ids = [d for r in rows for d, a in zip(r.doc_ids, r.starts) if a == 0]
     assert sorted(str(d) for d in ids) == sorted(str(r.doc_id) for r in odd.where("text <> ''").collect())
     assert packing.pack(none).count() == 0
+
+
+def test_sample_is_not_folded_in_the_driver(spark, monkeypatch):
+    """The index is fitted in a task; the driver gets what Places learnt only."""
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, sentence(rng, 20)) for i in range(500)], "doc_id long, text string")
+    vecs = packing.vectors(docs)
+    n, idf = packing.frequencies(vecs)
+    seen, init = [], packing.Places.__init__
+    monkeypatch.setattr(packing.Places, "__init__", lambda self, sample, centroids: (seen.append(len(sample)), init(self, sample, centroids))[1])
+    assert packing.placed(vecs, n, idf, 100, 300).select("region").distinct().count() > 1
+    assert seen == [0]
