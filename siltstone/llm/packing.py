@@ -1,24 +1,21 @@
 """Related-document packing along paths through a nearest-neighbour graph.
 
 A text's vector is its tf-idf over words hashed to 65536 cells, the document
-frequencies counted over all texts. Regions of at most about ``region_docs``
-texts share an index: a bounded sample (about ``fit`` texts, those of the least
-hashes) gives the 64 principal directions of the hashed vectors and centroids
-in them, and every text goes to its nearest centroid, in cells that hold too
-many to the nearest of several sample texts as well, and beyond that to one of
-several equal parts. Within a region the ``k`` nearest neighbours of each
-vector are found exactly, by comparing all its vectors through their cells. A
-walk starts at the unvisited vector of the lowest degree and moves on to the
-nearest unvisited neighbour until there is none, then the next one starts. A
-vector's texts come in order of their ids. Windows of ``window`` characters are
-filled along the paths; a document that crosses a window's end goes on in the
-next one, and the last window of a region may be shorter. Neighbours in other
-regions are not seen: up to ``region_docs`` texts there is one region and the
-graph is exact; README tells what share of neighbours is lost beyond that.
+frequencies counted over all texts. The ``k`` nearest neighbours of each distinct
+vector among all others are found exactly: vectors are spread over blocks of about
+eight times ``region_docs``, every two blocks meet in a task, and there they are
+compared in chunks of ``region_docs`` through their cells. That costs the square of
+the number of vectors, and each vector is sent once for each block. One task walks
+over the whole graph: it starts at the unvisited vector of the lowest degree and
+moves on to the nearest unvisited neighbour until there is none, then the next one
+starts. A vector's texts come in order of their ids. Windows of ``window``
+characters are filled along the paths; a document that crosses a window's end goes
+on in the next one, and the last window may be shorter. There is one region.
+``placed``, which divides texts among regions, is not used by ``pack``.
 
 Null and empty texts fill nothing and are left out; wordless texts share a
-vector. Repeated rows are packed as often as they occur, next to each other
-unless their cell is divided. Ties go to the lesser vector, null ids come last.
+vector. Repeated rows are packed as often as they occur, next to each other.
+Ties go to the lesser vector, null ids come last.
 Very long texts are read and packed whole. An empty table gives an empty
 result; other columns are ignored, whatever their names.
 """
@@ -30,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,7 +37,7 @@ from . import textvec
 from .rows import ID, TEXT, small_batches
 
 K, REGION_DOCS, WINDOW, FIT = 4, 4096, 8192, 16384
-_CELLS, _FOLD, _DIMS, _MOST_CENTROIDS, _SUBS, _OFTEN, _SLICE = 65536, 2048, 64, 4096, 16, 96, 200
+_CELLS, _FOLD, _DIMS, _MOST_CENTROIDS, _SUBS, _OFTEN, _SLICE, _CHUNKS = 65536, 2048, 64, 4096, 16, 96, 200, 8
 
 
 def sparse(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,8 +168,8 @@ def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return win, item, np.maximum(win * window - begin[item], 0), np.minimum((win + 1) * window - begin[item], lengths[item])
 
 
-def similarities(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, cosines of some rows with all n), block by block: frequent cells by matrix products, the others pair by pair."""
+def similarities(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, cut: int = 0) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, cosines of some rows with all n), block by block: frequent cells by matrix products, the others pair by pair; given a cut, of the rows before it with those from it on."""
     many = np.bincount(cell, minlength=_CELLS)
     dense = np.flatnonzero(many > _OFTEN)
     place = np.full(_CELLS, -1)
@@ -182,17 +179,39 @@ def similarities(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int) -> It
     x[row[often], place[cell[often]]] = w[often]
     r, c, v = row[~often], cell[~often], w[~often]
     order = np.lexsort((r, c))
-    r2, c2, v2 = r[order], c[order], v[order]
+    order = order[r[order] >= cut]
+    r2, c2, v2 = r[order] - cut, c[order], v[order]
     first = np.searchsorted(c2, np.arange(_CELLS + 1))
     at = np.searchsorted(r, np.arange(n + 1))
-    step = max(1, min(512, (2 << 20) // max(n, 1)))
-    for i in range(0, n, step):
-        j = min(i + step, n)
+    wide, end = n - cut, cut or n
+    step = max(1, min(512, (2 << 20) // max(wide, 1)))
+    for i in range(0, end, step):
+        j = min(i + step, end)
         q = np.arange(at[i], at[j])
         size = first[c[q] + 1] - first[c[q]]
         to = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first[c[q]], size)
-        rare = np.bincount(np.repeat(r[q] - i, size) * n + r2[to], np.repeat(v[q], size) * v2[to], minlength=(j - i) * n)
-        yield i, x[i:j] @ x.T + rare.reshape(j - i, n).astype(np.float32)
+        rare = np.bincount(np.repeat(r[q] - i, size) * wide + r2[to], np.repeat(v[q], size) * v2[to], minlength=(j - i) * wide)
+        yield i, x[i:j] @ x[cut:].T + rare.reshape(j - i, wide).astype(np.float32)
+
+
+def nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of the greatest s of each a; ties go to the lesser b."""
+    order = np.lexsort((b, -s, a))
+    a, b, s = a[order], b[order], s[order]
+    ok = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[ok], b[ok], s[ok]
+
+
+def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, value) of the k greatest positive values of each row; ties go to the lesser column."""
+    top = min(k, s.shape[1])
+    least = -np.partition(-s, top - 1, axis=1)[:, top - 1]
+    a, b = np.nonzero(s >= np.maximum(least, 1e-5)[:, None])
+    return nearest(a, b, s[a, b], k)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
 
 
 def neighbours(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,17 +220,21 @@ def neighbours(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, k: int
     for i, s in similarities(row, cell, w, n):
         s = np.round(s, 5)
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
-        top = min(k, n - 1)
-        if top < 1:
-            break
-        least = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-        a, b = np.nonzero(s >= np.maximum(least, 1e-5)[:, None])
-        v = s[a, b]
-        order = np.lexsort((b, -v, a))
-        a, b, v = a[order], b[order], v[order]
-        rank = np.arange(len(a)) - np.searchsorted(a, a)
-        out.append((a[rank < k] + i, b[rank < k], v[rank < k]))
-    return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        a, b, v = _best(s, k)
+        out.append((a + i, b, v))
+    return _joined(out)
+
+
+def across(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, cut: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of the up to k nearest rows from cut on of each row before it, and of those before it of each row from it on."""
+    out = []
+    for i, s in similarities(row, cell, w, n, cut):
+        s = np.round(s, 5)
+        a, b, v = _best(s, k)
+        out.append((a + i, b + cut, v))
+        a, b, v = _best(np.ascontiguousarray(s.T), k)
+        out.append((a + cut, b + i, v))
+    return nearest(*_joined(out), k)
 
 
 def vectors(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -309,31 +332,82 @@ def placed(vecs: DataFrame, n: int, idf: np.ndarray, region_docs: int = REGION_D
     return vecs.mapInArrow(home, T.StructType([*vecs.schema, T.StructField("region", T.LongType())]))
 
 
+def edges(nodes: DataFrame, blocks: int, idf: np.ndarray, k: int = K, chunk: int = REGION_DOCS) -> DataFrame:
+    """(a, b, s): the exact up to k nearest of all other nodes b of each node a; nodes has block, node, cells, counts.
+
+    Every two blocks meet in a task, and there chunk by chunk; the nearest found in each are merged.
+    """
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("block", "ascending"), ("node", "ascending")]))
+        block, name = table["block"].to_numpy(), table["node"].to_numpy()
+        parts = []
+        for side in np.unique(block).tolist():
+            lo, hi = np.searchsorted(block, [side, side + 1]).tolist()
+            for at in range(lo, hi, chunk):
+                t = table.slice(at, min(chunk, hi - at))
+                row, cell = _flat(t["cells"], np.uint16)
+                cell = cell.astype(np.int64)
+                w = weights(row, cell, _flat(t["counts"], np.float16)[1].astype(np.float64), idf, len(t))
+                parts.append((side, name[at : at + len(t)], row.astype(np.int32), cell.astype(np.int32), w.astype(np.float32)))
+        both, held = table["x"][0].as_py() != table["y"][0].as_py(), []
+        for i, (s, names, row, cell, w) in enumerate(parts):
+            if not both:
+                a, b, v = neighbours(row.astype(np.int64), cell, w, len(names), k)
+                held.append((names[a], names[b], v))
+            for s2, names2, row2, cell2, w2 in parts[i + 1 :]:
+                if both and s == s2:
+                    continue
+                all_names, n = np.concatenate([names, names2]), len(names)
+                a, b, v = across(np.concatenate([row, row2 + n]).astype(np.int64), np.concatenate([cell, cell2]), np.concatenate([w, w2]), len(all_names), n, k)
+                held.append((all_names[a], all_names[b], v))
+            held = [nearest(*_joined(held), k)]
+        return pa.table([pa.array(x, t) for x, t in zip(_joined(held), (pa.int64(), pa.int64(), pa.float32()))], names=["a", "b", "s"])
+
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = nodes.withColumn("o", other).select(F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "node", "cells", "counts")
+    found = met.groupBy("x", "y").applyInArrow(meet, "a long, b long, s float")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
+    return found.withColumn("r", rank).where(F.col("r") <= k).select("a", "b", "s")
+
+
 def pack(docs: DataFrame, window: int = WINDOW, k: int = K, region_docs: int = REGION_DOCS, fit: int = FIT, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """(region, window, doc_ids, starts, stops, chars): the documents of each window in order, and which characters of each."""
-    kind = docs.schema[id_col].dataType
+    """(region, window, doc_ids, starts, stops, chars): the documents of each window in order, and which characters of each. There is one region; fit is not used."""
     vecs = vectors(docs, id_col, text_col)
     n, idf = frequencies(vecs)
-    out = T.StructType([T.StructField("region", T.LongType()), T.StructField("window", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("stops", T.ArrayType(T.LongType())), T.StructField("chars", T.LongType())])
-
-    def windows(members: pa.Table) -> pa.Table:
-        members = members.take(pc.sort_indices(members, sort_keys=[("cells", "ascending"), ("counts", "ascending"), ("doc_id", "ascending"), ("n", "ascending")], null_placement="at_end"))
-        cells, counts = (members[c].combine_chunks() for c in ("cells", "counts"))
-        new = np.ones(len(members), bool)
-        if len(members) > 1:
-            new[1:] = pc.or_(pc.not_equal(cells[1:], cells[:-1]), pc.not_equal(counts[1:], counts[:-1])).to_numpy(zero_copy_only=False)
-        first = np.flatnonzero(new)
-        each = np.diff(np.append(first, len(members)))
-        row, cell = _flat(cells.take(pa.array(first)), np.uint16)
-        cell = cell.astype(np.int64)
-        w = weights(row, cell, _flat(counts.take(pa.array(first)), np.float16)[1].astype(np.float64), idf, len(first))
-        paths = walk(len(first), *neighbours(row, cell, w, len(first), k))
-        order = np.concatenate([np.arange(first[x], first[x] + each[x]) for p in paths for x in p])
-        win, item, start, stop = fill(members["n"].to_numpy()[order], window)
-        at = pa.array(np.concatenate([np.flatnonzero(np.r_[True, win[1:] != win[:-1]]), [len(win)]]).astype(np.int32))
-        ids = members["doc_id"].combine_chunks().take(pa.array(order[item]))
-        number = win[at.to_numpy()[:-1]]
-        lists = [pa.ListArray.from_arrays(at, x) for x in (ids, pa.array(start), pa.array(stop))]
-        return pa.table([pa.array(np.full(len(number), members["region"][0].as_py(), np.int64)), pa.array(number), *lists, pa.array(np.add.reduceat(stop - start, at.to_numpy()[:-1]))], names=out.names)
-
-    return placed(vecs, n, idf, region_docs, fit).select("doc_id", "n", "cells", "counts", "region").groupBy("region").applyInArrow(windows, out)
+    blocks = max(-(-n // (_CHUNKS * region_docs)), 1)
+    hashes = F.xxhash64("cells", "counts").alias("h1"), F.xxhash64(F.lit(7), "cells", "counts").alias("h2")
+
+    def number(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("cells", "ascending"), ("counts", "ascending")]))
+        return table.append_column("node", pa.array(np.arange(len(table))))
+
+    distinct = vecs.select("cells", "counts").distinct().select("cells", "counts", *hashes).withColumn("block", F.pmod("h1", F.lit(blocks)).cast("int"))
+    nodes = materialise(distinct.groupBy("block").applyInArrow(number, T.StructType([*distinct.schema, T.StructField("node", T.LongType())])), "packing-nodes")
+    held = np.zeros(blocks, np.int64)
+    for r in nodes.groupBy("block").count().collect():
+        held[r["block"]] = r["count"]
+    total, base = int(held.sum()), F.array(*[F.lit(int(x)) for x in np.cumsum(held) - held])
+    nodes = nodes.withColumn("node", F.col("node") + F.get(base, "block"))
+    rows = materialise(vecs.select("doc_id", "n", *hashes).join(nodes.select("h1", "h2", "node"), ["h1", "h2"]).select("doc_id", "n", "node"), "packing-rows")
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Edges, and each node's characters with a similarity of -1, in; where each node begins along the paths, out."""
+        parts = [[c.to_numpy() for c in b.columns] for b in batches]
+        if not parts:
+            return
+        a, b, s = (np.concatenate(x) for x in zip(*parts))
+        size = np.zeros(total, np.int64)
+        size[a[s < 0]] = b[s < 0]
+        along = np.array([x for p in walk(total, a[s >= 0], b[s >= 0], s[s >= 0]) for x in p], np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(along), pa.array(np.cumsum(size[along]) - size[along])], names=["node", "at"])
+
+    sizes = rows.groupBy("node").agg(F.sum("n").alias("b")).select(F.col("node").alias("a"), "b", F.lit(-1.0).cast("float").alias("s"))
+    graph = materialise(edges(nodes, blocks, idf, k, region_docs), "packing-edges")
+    starts = graph.unionAll(sizes).repartition(1).mapInArrow(order, "node long, at long")
+    before = F.sum("n").over(Window.partitionBy("node").orderBy(F.asc_nulls_last("doc_id"), "n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    laid = rows.withColumn("before", before).join(starts, "node").select("doc_id", "n", (F.col("at") + F.col("before")).alias("at"))
+    pieces = laid.select("*", F.explode(F.expr(f"sequence(at div {window}, (at + n - 1) div {window})")).alias("window"))
+    pieces = pieces.select("window", F.struct("at", F.greatest(F.col("window") * window - F.col("at"), F.lit(0)).alias("start"), F.least((F.col("window") + 1) * window - F.col("at"), "n").alias("stop"), "doc_id").alias("p"))
+    out = pieces.groupBy("window").agg(F.sort_array(F.collect_list("p")).alias("p"), F.sum(F.col("p.stop") - F.col("p.start")).alias("chars"))
+    return out.select(F.lit(0).cast("long").alias("region"), "window", F.col("p.doc_id").alias("doc_ids"), F.col("p.start").alias("starts"), F.col("p.stop").alias("stops"), "chars")

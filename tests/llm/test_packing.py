@@ -133,3 +133,27 @@ def test_sample_is_not_folded_in_the_driver(spark, monkeypatch):
     monkeypatch.setattr(packing.Places, "__init__", lambda self, sample, centroids: (seen.append(len(sample)), init(self, sample, centroids))[1])
     assert packing.placed(vecs, n, idf, 100, 300).select("region").distinct().count() > 1
     assert seen == [0]
+
+
+def test_neighbours_across_blocks_equal_brute_force(spark):
+    """However many blocks and chunks there are, each vector's neighbours are those among all vectors, and windows follow the whole graph."""
+    rng = random.Random(16)
+    texts = [sentence(rng, rng.randrange(5, 40)) for _ in range(250)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = packing.pack(docs, window=300, region_docs=10).orderBy("region", "window").collect()
+    order = [d for r in rows for d, a in zip(r.doc_ids, r.starts) if a == 0]
+    assert sorted(order) == list(range(250)) and {r.region for r in rows} == {0}
+    row, cell, count = packing.sparse(pa.array(texts))
+    idf = np.log(250 / np.maximum(np.bincount(cell, minlength=65536), 1))
+    x = np.zeros((250, 65536))
+    x[row, cell] = packing.weights(row, cell, count, idf, 250)
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    vecs = packing.vectors(docs)
+    n, idf = packing.frequencies(vecs)
+    nodes = vecs.selectExpr("cast(doc_id % 4 as int) as block", "doc_id as node", "cells", "counts")
+    got = {}
+    for r in packing.edges(nodes, 4, idf, 4, 10).collect():
+        got.setdefault(r.a, []).append(r.s)
+    for i in range(250):
+        assert np.allclose(sorted(got[i]), np.sort(s[i])[-4:], atol=1e-4)
