@@ -3,10 +3,10 @@
 A text's vector is its tf-idf over words hashed to 65536 cells, the document
 frequencies counted over all texts. The ``k`` nearest neighbours of each distinct
 vector among all others are found exactly: vectors are spread over blocks of about
-eight times ``region_docs``, every two blocks meet in a task, and there they are
-compared in chunks of ``region_docs`` through their cells. That costs the square of
-the number of vectors, and each vector is sent once for each block. One task walks
-over the whole graph: it starts at the unvisited vector of the lowest degree and
+eight times ``region_docs`` and written in chunks of half as many as ``region_docs``; the chunks of
+every two blocks meet in a task, which reads them pair by pair and never holds more
+than two. That costs the square of the number of vectors, but no shuffle of them.
+One task walks over the whole graph: it starts at the unvisited vector of the lowest degree and
 moves on to the nearest unvisited neighbour until there is none, then the next one
 starts. A vector's texts come in order of their ids. Windows of ``window``
 characters are filled along the paths; a document that crosses a window's end goes
@@ -37,7 +37,9 @@ from . import textvec
 from .rows import ID, TEXT, small_batches
 
 K, REGION_DOCS, WINDOW, FIT = 4, 4096, 8192, 16384
-_CELLS, _FOLD, _DIMS, _MOST_CENTROIDS, _SUBS, _OFTEN, _SLICE, _CHUNKS = 65536, 2048, 64, 4096, 16, 96, 200, 8
+_CELLS, _FOLD, _DIMS, _MOST_CENTROIDS, _SUBS, _OFTEN, _SLICE, _CHUNKS, _LEAST = 65536, 2048, 64, 4096, 16, 0.025, 200, 8, 1e-5
+# a row is megabytes; by default a page would take a hundred of them, and whoever reads one as much memory
+_PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.block.size": 16 << 20}
 
 
 def sparse(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,27 +173,30 @@ def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
 def similarities(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, cut: int = 0) -> Iterator[tuple[int, np.ndarray]]:
     """(first row, cosines of some rows with all n), block by block: frequent cells by matrix products, the others pair by pair; given a cut, of the rows before it with those from it on."""
     many = np.bincount(cell, minlength=_CELLS)
-    dense = np.flatnonzero(many > _OFTEN)
-    place = np.full(_CELLS, -1)
+    dense = np.flatnonzero(many > _OFTEN * n)
+    place = np.full(_CELLS, -1, np.int32)
     place[dense] = np.arange(len(dense))
     often = place[cell] >= 0
     x = np.zeros((n, len(dense)), np.float32)
     x[row[often], place[cell[often]]] = w[often]
-    r, c, v = row[~often], cell[~often], w[~often]
-    order = np.lexsort((r, c))
-    order = order[r[order] >= cut]
-    r2, c2, v2 = r[order] - cut, c[order], v[order]
-    first = np.searchsorted(c2, np.arange(_CELLS + 1))
-    at = np.searchsorted(r, np.arange(n + 1))
+    r, c, v = row[~often].astype(np.int32), cell[~often].astype(np.uint16), w[~often].astype(np.float32)
+    at = np.searchsorted(r, np.arange(n + 1, dtype=np.int32))
+    start = at[cut]
+    order = np.argsort(c[start:], kind="stable") + start
+    r2, v2 = r[order] - np.int32(cut), v[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(c[start:], minlength=_CELLS))])
     wide, end = n - cut, cut or n
-    step = max(1, min(512, (2 << 20) // max(wide, 1)))
+    step = max(1, min(512, (1 << 20) // max(wide, 1)))
     for i in range(0, end, step):
         j = min(i + step, end)
-        q = np.arange(at[i], at[j])
-        size = first[c[q] + 1] - first[c[q]]
-        to = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first[c[q]], size)
-        rare = np.bincount(np.repeat(r[q] - i, size) * wide + r2[to], np.repeat(v[q], size) * v2[to], minlength=(j - i) * wide)
-        yield i, x[i:j] @ x[cut:].T + rare.reshape(j - i, wide).astype(np.float32)
+        mine = c[at[i] : at[j]].astype(np.int32)
+        begin = first[mine]
+        size = first[mine + 1] - begin
+        s = x[i:j] @ x[cut:].T
+        to = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        value = np.repeat(v[at[i] : at[j]], size) * v2[to]
+        np.add.at(s.reshape(-1), np.repeat((r[at[i] : at[j]] - i).astype(np.int64) * wide, size) + r2[to], value)
+        yield i, s
 
 
 def nearest(a: np.ndarray, b: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -206,7 +211,7 @@ def _best(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column, value) of the k greatest positive values of each row; ties go to the lesser column."""
     top = min(k, s.shape[1])
     least = -np.partition(-s, top - 1, axis=1)[:, top - 1]
-    a, b = np.nonzero(s >= np.maximum(least, 1e-5)[:, None])
+    a, b = np.nonzero(s >= np.maximum(least, _LEAST)[:, None])
     return nearest(a, b, s[a, b], k)
 
 
@@ -225,16 +230,50 @@ def neighbours(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, k: int
     return _joined(out)
 
 
-def across(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, cut: int, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, similarity) of the up to k nearest rows from cut on of each row before it, and of those before it of each row from it on."""
-    out = []
-    for i, s in similarities(row, cell, w, n, cut):
-        s = np.round(s, 5)
-        a, b, v = _best(s, k)
-        out.append((a + i, b + cut, v))
-        a, b, v = _best(np.ascontiguousarray(s.T), k)
-        out.append((a + cut, b + i, v))
-    return nearest(*_joined(out), k)
+class Nearest:
+    """The k nearest found so far of each of n rows, of others that are told apart by name; ties go to the lesser name."""
+
+    def __init__(self, n: int, k: int) -> None:
+        self.n, self.k = n, k
+        self.least = np.full(n, _LEAST, np.float32)
+        self.held = _joined([])
+
+    def see(self, s: np.ndarray, at: int, names: np.ndarray) -> None:
+        """s: similarities of the rows from at on with the ascending names; what can't be among the nearest is passed over."""
+        least = self.least[at : at + len(s)]
+        if s.flags.c_contiguous:
+            a, b = np.divmod(np.flatnonzero(s >= (least - _LEAST)[:, None]), s.shape[1])
+        else:
+            b, a = np.divmod(np.flatnonzero(s.T >= least - _LEAST), s.shape[0])
+        if len(a) > 32 * self.k * len(s):
+            a, b, v = _best(np.round(s, 5), self.k)
+        else:
+            v = np.round(s[a, b], 5)
+            ok = v >= least[a]
+            a, b, v = a[ok], b[ok], v[ok]
+        if not len(a):
+            return
+        new = np.unique(a + at)
+        old = np.isin(self.held[0], new)
+        mine = tuple(x[old] for x in self.held)
+        mine = nearest(*_joined([mine, (a + at, names[b], v)]), self.k)
+        last = np.flatnonzero(np.r_[mine[0][1:] != mine[0][:-1], True])
+        full = last[np.bincount(mine[0], minlength=self.n)[mine[0][last]] >= self.k]
+        self.least[mine[0][full]] = mine[2][full]
+        self.held = _joined([tuple(x[~old] for x in self.held), mine])
+
+
+def meet(one: Nearest, row: np.ndarray, cell: np.ndarray, w: np.ndarray, names: np.ndarray, two: Nearest | None, row2: np.ndarray, cell2: np.ndarray, w2: np.ndarray, names2: np.ndarray) -> None:
+    """Compares the rows of two chunks, or, where two is None, of one with each other."""
+    if two is None:
+        for i, s in similarities(row, cell, w, len(names)):
+            s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
+            one.see(s, i, names)
+        return
+    n = len(names)
+    for i, s in similarities(np.concatenate([row, row2 + row2.dtype.type(n)]), np.concatenate([cell, cell2]), np.concatenate([w, w2]), n + len(names2), n):
+        one.see(s, i, names2)
+        two.see(s.T, 0, names[i : i + len(s)])
 
 
 def vectors(docs: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -333,40 +372,71 @@ def placed(vecs: DataFrame, n: int, idf: np.ndarray, region_docs: int = REGION_D
 
 
 def edges(nodes: DataFrame, blocks: int, idf: np.ndarray, k: int = K, chunk: int = REGION_DOCS) -> DataFrame:
-    """(a, b, s): the exact up to k nearest of all other nodes b of each node a; nodes has block, node, cells, counts.
+    """(a, b, s): the exact up to k nearest of all other nodes b of each node a; nodes has node, cells, counts.
 
-    Every two blocks meet in a task, and there chunk by chunk; the nearest found in each are merged.
+    Nodes are written in chunks, in as many parts as there are blocks at most. Of every two parts the chunks are read
+    pair by pair; the nearest found in each task are merged.
     """
+    spark = nodes.sparkSession
+    kind = "names binary, sizes binary, cells binary, counts binary"
 
-    def meet(table: pa.Table) -> pa.Table:
-        table = table.take(pc.sort_indices(table, sort_keys=[("block", "ascending"), ("node", "ascending")]))
-        block, name = table["block"].to_numpy(), table["node"].to_numpy()
-        parts = []
-        for side in np.unique(block).tolist():
-            lo, hi = np.searchsorted(block, [side, side + 1]).tolist()
-            for at in range(lo, hi, chunk):
-                t = table.slice(at, min(chunk, hi - at))
-                row, cell = _flat(t["cells"], np.uint16)
-                cell = cell.astype(np.int64)
-                w = weights(row, cell, _flat(t["counts"], np.float16)[1].astype(np.float64), idf, len(t))
-                parts.append((side, name[at : at + len(t)], row.astype(np.int32), cell.astype(np.int32), w.astype(np.float32)))
-        both, held = table["x"][0].as_py() != table["y"][0].as_py(), []
-        for i, (s, names, row, cell, w) in enumerate(parts):
-            if not both:
-                a, b, v = neighbours(row.astype(np.int64), cell, w, len(names), k)
-                held.append((names[a], names[b], v))
-            for s2, names2, row2, cell2, w2 in parts[i + 1 :]:
-                if both and s == s2:
-                    continue
-                all_names, n = np.concatenate([names, names2]), len(names)
-                a, b, v = across(np.concatenate([row, row2 + n]).astype(np.int64), np.concatenate([cell, cell2]), np.concatenate([w, w2]), len(all_names), n, k)
-                held.append((all_names[a], all_names[b], v))
-            held = [nearest(*_joined(held), k)]
-        return pa.table([pa.array(x, t) for x, t in zip(_joined(held), (pa.int64(), pa.int64(), pa.float32()))], names=["a", "b", "s"])
-
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    met = nodes.withColumn("o", other).select(F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"), "block", "node", "cells", "counts")
-    found = met.groupBy("x", "y").applyInArrow(meet, "a long, b long, s float")
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            t = pa.Table.from_batches(held)
+            t = t.take(pc.sort_indices(t, sort_keys=[("node", "ascending")]))
+            row, cell = _flat(t["cells"], np.uint16)
+            flat = t["node"].to_numpy().astype(np.int64), np.bincount(row, minlength=len(t)), cell, _flat(t["counts"], np.float16)[1]
+            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in flat], names=["names", "sizes", "cells", "counts"])
+
+        for b in batches:
+            while b.num_rows:
+                part = b.slice(0, chunk - sum(x.num_rows for x in held))
+                held.append(part)
+                b = b.slice(part.num_rows)
+                if sum(x.num_rows for x in held) == chunk:
+                    yield flush()
+                    held.clear()
+        if held:
+            yield flush()
+
+    def read(names: bytes, sizes: bytes, cells: bytes, counts: bytes) -> tuple[np.ndarray, ...]:
+        name, size = np.frombuffer(names, np.int64), np.frombuffer(sizes, np.int64)
+        row, cell = np.repeat(np.arange(len(name), dtype=np.int32), size), np.frombuffer(cells, np.uint16).astype(np.int32)
+        return row, cell, weights(row, cell, np.frombuffer(counts, np.float16).astype(np.float64), idf, len(name)).astype(np.float32), name
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[Nearest, np.ndarray]] = {}
+        last, left = None, None
+        for b in batches:
+            for r in range(b.num_rows):
+                i, j = b.column(0)[r].as_py(), b.column(5)[r].as_py()
+                if i != last:
+                    last, left = i, read(*(b.column(c)[r].as_py() for c in range(1, 5)))
+                right = left if i == j else read(*(b.column(c)[r].as_py() for c in range(6, 10)))
+                for x, side in ((i, left), (j, right)):
+                    if x not in best:
+                        best[x] = Nearest(len(side[3]), k), side[3].copy()
+                meet(best[i][0], *left, None if i == j else best[j][0], *right)
+        for found, names in best.values():
+            a, b, v = found.held
+            yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.int64()), pa.array(b.astype(np.int64)), pa.array(v.astype(np.float32))], names=["a", "b", "s"])
+
+    few = nodes.select("node", "cells", "counts").coalesce(blocks).mapInArrow(cut, kind).withColumn("chunk", F.monotonically_increasing_id())
+    few = materialise(few.select("chunk", *(x.split()[0] for x in kind.split(", "))), "packing-chunks", **_PAGES)
+    one, two = (few.select(*(F.col(c).alias(f"{c}{i}") for c in few.columns)) for i in (1, 2))
+    # of every two parts' chunks each pair comes once, all in one of the two tasks in which they meet
+    part1, part2 = (F.shiftright(F.col(f"chunk{i}"), 33) for i in (1, 2))
+    turn = F.when(part1 == part2, F.col("chunk1") <= F.col("chunk2")).when((part1 + part2) % 2 == 0, part1 < part2).otherwise(part1 > part2)
+    pairs = one.join(two.hint("shuffle_replicate_nl"), turn)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key, "10000")
+    spark.conf.set(key, "1")  # a row is two chunks
+    try:
+        found = materialise(pairs.mapInArrow(compare, "a long, b long, s float"), "packing-found")
+    finally:
+        spark.conf.set(key, was)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
     return found.withColumn("r", rank).where(F.col("r") <= k).select("a", "b", "s")
 
@@ -403,7 +473,7 @@ def pack(docs: DataFrame, window: int = WINDOW, k: int = K, region_docs: int = R
         yield pa.RecordBatch.from_arrays([pa.array(along), pa.array(np.cumsum(size[along]) - size[along])], names=["node", "at"])
 
     sizes = rows.groupBy("node").agg(F.sum("n").alias("b")).select(F.col("node").alias("a"), "b", F.lit(-1.0).cast("float").alias("s"))
-    graph = materialise(edges(nodes, blocks, idf, k, region_docs), "packing-edges")
+    graph = materialise(edges(nodes, blocks, idf, k, -(-region_docs // 2)), "packing-edges")
     starts = graph.unionAll(sizes).repartition(1).mapInArrow(order, "node long, at long")
     before = F.sum("n").over(Window.partitionBy("node").orderBy(F.asc_nulls_last("doc_id"), "n").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
     laid = rows.withColumn("before", before).join(starts, "node").select("doc_id", "n", (F.col("at") + F.col("before")).alias("at"))

@@ -157,3 +157,27 @@ def test_neighbours_across_blocks_equal_brute_force(spark):
         got.setdefault(r.a, []).append(r.s)
     for i in range(250):
         assert np.allclose(sorted(got[i]), np.sort(s[i])[-4:], atol=1e-4)
+
+
+def test_tasks_hold_two_chunks(spark, monkeypatch):
+    """Vectors are compared chunk by chunk without a shuffle of them, and however they are cut the neighbours are the same."""
+    rng = random.Random(17)
+    texts = [sentence(rng, rng.randrange(5, 40)) for _ in range(120)]
+    vecs = packing.vectors(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    _, idf = packing.frequencies(vecs)
+    nodes = vecs.selectExpr("cast(doc_id % 3 as int) as block", "doc_id as node", "cells", "counts")
+    seen, write = {}, packing.materialise
+    monkeypatch.setattr(packing, "materialise", lambda df, name, **how: seen.setdefault(name, (df._jdf.queryExecution().executedPlan().toString(), write(df, name, **how)))[1])
+    few = sorted(packing.edges(nodes, 3, idf, 4, 7).collect())
+    sizes = [len(r.names) // 8 for r in seen["packing-chunks"][1].collect()]
+    assert sum(sizes) == 120 and max(sizes) == 7
+    assert "Exchange" not in seen["packing-found"][0]
+    seen.clear()
+    many = sorted(packing.edges(nodes, 1, idf, 4, 500).collect())
+    assert [(r.a, r.b) for r in few] == [(r.a, r.b) for r in many]
+    row, cell, count = packing.sparse(pa.array(texts))
+    x = np.zeros((120, 65536))
+    x[row, cell] = packing.weights(row, cell, count, idf, 120)
+    s = np.round(x @ x.T, 5)
+    np.fill_diagonal(s, 0)
+    assert len(few) == np.minimum((s > 0).sum(1), 4).sum()
