@@ -37,7 +37,7 @@ from . import textvec
 from .rows import ID, TEXT, small_batches
 
 K, REGION_DOCS, WINDOW, FIT = 4, 4096, 8192, 16384
-_CELLS, _FOLD, _DIMS, _MOST_CENTROIDS, _SUBS, _OFTEN, _SLICE, _CHUNKS, _LEAST = 65536, 2048, 64, 4096, 16, 0.025, 200, 8, 1e-5
+_CELLS, _FOLD, _DIMS, _MOST_CENTROIDS, _SUBS, _OFTEN, _SLICE, _CHUNKS, _LEAST, _AT_ONCE = 65536, 2048, 64, 4096, 16, 0.03, 200, 8, 1e-5, 1 << 16
 # a row is megabytes; by default a page would take a hundred of them, and whoever reads one as much memory
 _PAGES = {"parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.block.size": 16 << 20}
 
@@ -170,32 +170,45 @@ def fill(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.n
     return win, item, np.maximum(win * window - begin[item], 0), np.minimum((win + 1) * window - begin[item], lengths[item])
 
 
-def similarities(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, cut: int = 0) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, cosines of some rows with all n), block by block: frequent cells by matrix products, the others pair by pair; given a cut, of the rows before it with those from it on."""
-    many = np.bincount(cell, minlength=_CELLS)
-    dense = np.flatnonzero(many > _OFTEN * n)
+def similarities(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, cosines of some rows with all n), block by block."""
+    return across(row, cell, w, n, row, cell, w, n)
+
+
+def across(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, row2: np.ndarray, cell2: np.ndarray, w2: np.ndarray, n2: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, cosines of some of n rows with all n2 others), block by block: cells that are frequent on both sides by matrix products, the others pair by pair, so many at once that little is held."""
+    many, many2 = (np.bincount(c, minlength=_CELLS) for c in (cell, cell2))
+    dense = np.flatnonzero(many * many2 > _OFTEN * _OFTEN * n * n2)
     place = np.full(_CELLS, -1, np.int32)
     place[dense] = np.arange(len(dense))
-    often = place[cell] >= 0
-    x = np.zeros((n, len(dense)), np.float32)
-    x[row[often], place[cell[often]]] = w[often]
-    r, c, v = row[~often].astype(np.int32), cell[~often].astype(np.uint16), w[~often].astype(np.float32)
-    at = np.searchsorted(r, np.arange(n + 1, dtype=np.int32))
-    start = at[cut]
-    order = np.argsort(c[start:], kind="stable") + start
-    r2, v2 = r[order] - np.int32(cut), v[order]
-    first = np.concatenate([[0], np.cumsum(np.bincount(c[start:], minlength=_CELLS))])
-    wide, end = n - cut, cut or n
-    step = max(1, min(512, (1 << 20) // max(wide, 1)))
-    for i in range(0, end, step):
-        j = min(i + step, end)
-        mine = c[at[i] : at[j]].astype(np.int32)
-        begin = first[mine]
-        size = first[mine + 1] - begin
-        s = x[i:j] @ x[cut:].T
-        to = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
-        value = np.repeat(v[at[i] : at[j]], size) * v2[to]
-        np.add.at(s.reshape(-1), np.repeat((r[at[i] : at[j]] - i).astype(np.int64) * wide, size) + r2[to], value)
+
+    def divided(row: np.ndarray, cell: np.ndarray, w: np.ndarray, n: int, others: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The matrix of the frequent cells; row, cell, weight of the others that the other side has too."""
+        at = place[cell]
+        often, rest = at >= 0, (at < 0) & (others[cell] > 0)
+        x = np.zeros((n, len(dense)), np.float32)
+        x[row[often], at[often]] = w[often]
+        return x, row[rest], cell[rest].astype(np.uint16), w[rest].astype(np.float32)
+
+    x, r, c, v = divided(row, cell, w, n, many2)
+    x2, r2, c2, v2 = divided(row2, cell2, w2, n2, many)
+    order = np.argsort(c2, kind="stable")
+    r2, v2 = r2[order], v2[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(c2, minlength=_CELLS))])
+    begin, size = first[c], first[c.astype(np.int32) + 1] - first[c]
+    end = np.concatenate([[0], np.cumsum(size)])
+    at = np.searchsorted(r, np.arange(n + 1))
+    step = max(1, min(512, (1 << 20) // max(n2, 1)))
+    for i in range(0, n, step):
+        j = min(i + step, n)
+        s = x[i:j] @ x2.T
+        low = at[i]
+        while low < at[j]:
+            high = min(max(int(np.searchsorted(end, end[low] + _AT_ONCE, side="right")) - 1, low + 1), at[j])
+            times = size[low:high]
+            to = np.arange(end[high] - end[low]) + np.repeat(begin[low:high] - end[low:high] + end[low], times)
+            np.add.at(s.reshape(-1), np.repeat((r[low:high].astype(np.int64) - i) * n2, times) + r2[to], np.repeat(v[low:high], times) * v2[to])
+            low = high
         yield i, s
 
 
@@ -270,8 +283,7 @@ def meet(one: Nearest, row: np.ndarray, cell: np.ndarray, w: np.ndarray, names:
             s[np.arange(len(s)), np.arange(i, i + len(s))] = -9
             one.see(s, i, names)
         return
-    n = len(names)
-    for i, s in similarities(np.concatenate([row, row2 + row2.dtype.type(n)]), np.concatenate([cell, cell2]), np.concatenate([w, w2]), n + len(names2), n):
+    for i, s in across(row, cell, w, len(names), row2, cell2, w2, len(names2)):
         one.see(s, i, names2)
         two.see(s.T, 0, names[i : i + len(s)])
 

@@ -1,5 +1,6 @@
 import os
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -181,3 +182,31 @@ def test_tasks_hold_two_chunks(spark, monkeypatch):
     s = np.round(x @ x.T, 5)
     np.fill_diagonal(s, 0)
     assert len(few) == np.minimum((s > 0).sum(1), 4).sum()
+
+
+def test_cells_of_one_side_are_no_columns():
+    """What is frequent in one chunk only takes no matrix, and few products are held at once; cosines and neighbours are those of brute force."""
+    rng = np.random.default_rng(19)
+
+    def chunk(low, n):
+        cells = [np.r_[np.arange(40), low + np.flatnonzero(rng.random(4000) < 0.05)] for _ in range(n)]
+        row = np.repeat(np.arange(n, dtype=np.int32), [len(c) for c in cells])
+        cell = np.concatenate(cells).astype(np.int32)
+        return row, cell, packing.weights(row, cell, rng.integers(1, 5, len(cell)), rng.random(65536) + 0.1, n).astype(np.float32), n
+
+    one, two, three = chunk(100, 700), chunk(10000, 600), chunk(100, 600)
+    for other in (two, three):
+        full = [np.zeros((n, 65536), np.float32) for *_, n in (one, other)]
+        for x, (row, cell, w, _) in zip(full, (one, other)):
+            x[row, cell] = w
+        true = full[0] @ full[1].T
+        assert np.abs(np.concatenate([s for _, s in packing.across(*one, *other)]) - true).max() < 1e-5
+        left, right = packing.Nearest(700, 4), packing.Nearest(600, 4)
+        tracemalloc.start()
+        packing.meet(left, *one[:3], np.arange(700), right, *other[:3], np.arange(1000, 1600))
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert most < (24 if other is two else 34), most
+        for found, s in ((left, true), (right, true.T)):
+            a, _, v = found.held
+            assert np.allclose(v[np.lexsort((v, a))].reshape(-1, 4), np.sort(s)[:, -4:], atol=2e-5)
