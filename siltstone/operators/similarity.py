@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import PAGES, byte_batches, materialise
+
 EXACT, NEAR, BLOCK = 0.98, 0.85, 4096
+_PARTS, _STRIP = 4, 1 << 20
 BAND = (0.70, 0.95)
 PAIRS = "left_id string, right_id string, score double, scope string"
 
@@ -23,52 +28,87 @@ def checked(chunks: DataFrame) -> DataFrame:
     return chunks
 
 
+def _written(chunks: DataFrame, rows: int) -> DataFrame:
+    """(chunk, is_new, ids, wide, vectors): up to so many rows of a side in each, vectors of length one; as float32 where that loses nothing, which halves what is written."""
+    parts = max(-(-chunks.count() // (_PARTS * rows)), 1)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bool, list[pa.RecordBatch]] = {True: [], False: []}
+
+        def flush(side: bool) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held[side]).combine_chunks()
+            ids, vectors = t["chunk_id"].combine_chunks(), t["embedding"].combine_chunks()
+            v = vectors.flatten().to_numpy(zero_copy_only=False)
+            less = v.astype(np.float32)
+            wide = not np.array_equal(less.astype(np.float64), v)
+            held[side].clear()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([side]), lists, pa.array([wide]), pa.array([(v if wide else less).tobytes()], pa.binary())], names=["is_new", "ids", "wide", "vectors"])
+
+        for whole in batches:
+            for side in (True, False):
+                b = whole.filter(pc.equal(whole.column(2), side)).select([0, 1])
+                while b.num_rows:
+                    part = b.slice(0, rows - sum(x.num_rows for x in held[side]))
+                    held[side].append(part)
+                    b = b.slice(part.num_rows)
+                    if sum(x.num_rows for x in held[side]) == rows:
+                        yield flush(side)
+        for side in (True, False):
+            if held[side]:
+                yield flush(side)
+
+    rows_in = chunks.select(F.col("chunk_id").cast("string"), F.col("embedding").cast("array<double>"), F.coalesce(F.col("side") == "new", F.lit(False)).alias("is_new"))
+    few = rows_in.repartition(parts, "chunk_id").mapInArrow(cut, "is_new boolean, ids array<string>, wide boolean, vectors binary")
+    return materialise(few.withColumn("chunk", F.monotonically_increasing_id()), "similarity-chunks", **PAGES)
+
+
 def scores(chunks: DataFrame, floor: float, block: int = BLOCK) -> DataFrame:
     """(left_id, right_id, score, scope) of the pairs of chunks (chunk_id, side, embedding) with a cosine of floor at least.
 
     side is 'new' or 'existing'. Pairs within the new side come once, the
     lesser id left; pairs of a new and an existing chunk have the new one
-    left; existing chunks are not compared with each other. Rows meet in
-    square blocks, one matrix product each; no row is compared twice.
+    left; existing chunks are not compared with each other. Vectors are written
+    once, in lots of half a block, and every two lots that have to meet do so in
+    a task that reads them, a strip of their matrix at a time: no vector is
+    shuffled more than once, and no row is compared twice. The result is worked
+    out whenever it is read; where it is read several times, write it first.
     """
     if not 0 <= floor <= 1:
         raise ValueError("a similarity threshold lies between 0 and 1")
-    sizes = {r["side"]: r["n"] for r in chunks.groupBy("side").agg(F.count("*").alias("n")).collect()}
-    new, old = (max(-(-sizes.get(s, 0) // block), 1) for s in ("new", "existing"))
-    is_new = F.col("side") == "new"
-    home = F.pmod(F.xxhash64("chunk_id"), F.when(is_new, new).otherwise(old)).cast("int")
-    # a new row stands left in its block's row of cells and right in its column; an existing row right only
-    right_new = F.transform(F.sequence(F.lit(0), F.col("home")), lambda i: F.struct(i.alias("i"), F.col("home").alias("j"), F.lit("r").alias("hand"), F.lit("new").alias("other")))
-    left_new = F.transform(F.sequence(F.col("home"), F.lit(new - 1)), lambda j: F.struct(F.col("home").alias("i"), j.alias("j"), F.lit("l").alias("hand"), F.lit("new").alias("other")))
-    left_old = F.transform(F.sequence(F.lit(0), F.lit(old - 1)), lambda j: F.struct(F.col("home").alias("i"), j.alias("j"), F.lit("l").alias("hand"), F.lit("existing").alias("other")))
-    right_old = F.transform(F.sequence(F.lit(0), F.lit(new - 1)), lambda i: F.struct(i.alias("i"), F.col("home").alias("j"), F.lit("r").alias("hand"), F.lit("existing").alias("other")))
-    mine = F.concat(right_new, left_new, left_old) if sizes.get("existing") else F.concat(right_new, left_new)
-    cells = chunks.select(F.col("chunk_id").cast("string"), F.col("embedding").cast("array<double>"), home.alias("home"), is_new.alias("is_new"))
-    cells = cells.select("chunk_id", "embedding", F.explode(F.when(F.col("is_new"), mine).otherwise(right_old)).alias("c")).select("chunk_id", "embedding", "c.*")
-
-    def multiply(table: pa.Table) -> pa.Table:
-        other, same = table["other"][0].as_py(), table["i"][0].as_py() == table["j"][0].as_py()
-        ids, vectors = table["chunk_id"].combine_chunks(), table["embedding"].combine_chunks()
-        v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        is_left = pc.equal(table["hand"], "l").to_numpy()
-        a, b = np.flatnonzero(is_left), np.flatnonzero(~is_left)
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(a), 1024):
-            s = v[a[at : at + 1024]] @ v[b].T
-            x, y = np.nonzero(s >= floor - 1e-12)
-            found.append((a[at + x], b[y], s[x, y]))
-        x, y, score = (np.concatenate(z) for z in zip(*found))
-        if other == "new":
-            less = pc.less(ids.take(pa.array(x)), ids.take(pa.array(y))).to_numpy(zero_copy_only=False)
-            if same:
-                x, y, score = x[less], y[less], score[less]
-            else:
-                x, y = np.where(less, x, y), np.where(less, y, x)
-        left, right = (ids.take(pa.array(z)) for z in (x, y))
-        return pa.table({"left_id": left, "right_id": right, "score": pa.array(score), "scope": pa.array([f"new_vs_{other}"] * len(x), pa.string())})
-
-    return cells.groupBy("other", "i", "j").applyInArrow(multiply, PAIRS)
+    few = _written(chunks, max(block // 2, 1))
+    one, two = (few.select(*(F.col(c).alias(f"{c}{i}") for c in ("chunk", "is_new", "ids", "wide", "vectors"))) for i in (1, 2))
+    # of two lots of new rows one order only, which falls evenly on the two tasks in which they stand together
+    turn = F.when((F.col("chunk1") + F.col("chunk2")) % 2 == 0, F.col("chunk1") <= F.col("chunk2")).otherwise(F.col("chunk1") > F.col("chunk2"))
+    pairs = one.where("is_new1").join(two.hint("shuffle_replicate_nl"), ~F.col("is_new2") | turn)
+
+    def unit(ids: pa.ListScalar, wide: bool, data: bytes) -> np.ndarray:
+        v = np.frombuffer(data, np.float64 if wide else np.float32).astype(np.float64).reshape(len(ids), -1)
+        return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, a = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                chunk1, _, ids1, wide1, data1, chunk2, new, ids2, wide2, data2 = (c[r] for c in batch.columns)
+                if chunk1.as_py() != last:
+                    last, a = chunk1.as_py(), unit(ids1, wide1.as_py(), data1.as_py())
+                same = last == chunk2.as_py()
+                b = a if same else unit(ids2, wide2.as_py(), data2.as_py())
+                step = max(_STRIP // len(b), 1)
+                for at in range(0, len(a), step):
+                    s = a[at : at + step] @ b.T
+                    x, y = np.nonzero(s >= floor - 1e-12)
+                    score = s[x, y]
+                    left, right = ids1.values.take(pa.array(x + at)), ids2.values.take(pa.array(y))
+                    if new.as_py():
+                        less = pc.less(left, right).to_numpy(zero_copy_only=False)
+                        keep = pa.array(less if same else less | pc.greater(left, right).to_numpy(zero_copy_only=False))
+                        left, right, score, less = left.filter(keep), right.filter(keep), pa.array(score).filter(keep), pa.array(less).filter(keep)
+                        left, right = pc.if_else(less, left, right), pc.if_else(less, right, left)
+                    yield pa.RecordBatch.from_arrays([left, right, pa.array(score), pa.array([f"new_vs_{'new' if new.as_py() else 'existing'}"] * len(left), pa.string())], names=["left_id", "right_id", "score", "scope"])
+
+    return byte_batches(pairs).mapInArrow(multiply, PAIRS)
 
 
 def severity(score: Column | str, exact: float = EXACT) -> Column:
