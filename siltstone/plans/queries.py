@@ -102,18 +102,18 @@ def cross_document_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similar(similarity.scores(_vectors(spark, sf_dir), NEAR), EXACT, NEAR)
+    pairs = materialise(similarity.similar(similarity.scores(_vectors(spark, sf_dir), NEAR), EXACT, NEAR).where("severity = 'exact'"), "query-pairs")
     return duplication.exact_clusters(pairs).select(F.col("chunk_id").cast("long").alias("chunk_id"), F.col("cluster_id").cast("long").alias("cluster_id"), F.round("score", 6).alias("score"))
 
 
 def near_pairs_suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = similarity.similar(similarity.scores(_vectors(spark, sf_dir), NEAR), EXACT, NEAR)
+    pairs = materialise(similarity.similar(similarity.scores(_vectors(spark, sf_dir), NEAR), EXACT, NEAR), "query-pairs")
     return _shown(duplication.near_pairs(pairs, duplication.exact_clusters(pairs)))
 
 
 def duplication_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir, True)
-    return duplication.counts(duplication.findings(similarity.similar(similarity.scores(v, NEAR), EXACT, NEAR), v))
+    return duplication.tally(materialise(similarity.similar(similarity.scores(v, NEAR), EXACT, NEAR), "query-pairs"))
 
 
 def supersession(spark: SparkSession, sf_dir: str) -> DataFrame:

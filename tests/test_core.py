@@ -3,6 +3,7 @@
 import json
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,22 @@ def test_similarity_thresholds(spark):
         assert got == {("a", "b"): "exact", ("a", "c"): "near_duplicate", ("b", "c"): "near_duplicate", ("a", "e"): "exact", ("b", "e"): "exact", ("c", "e"): "near_duplicate", ("a", "f"): "exact", ("b", "f"): "exact", ("c", "f"): "near_duplicate"}
 
 
+def test_vectors_are_read_in_lots_and_shuffled_once(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(90, 6)) + 0.6
+    sides = ["new" if i % 3 else "existing" for i in range(90)]
+    chunks = _vectors(spark, [(f"{i:02d}", side, x) for i, (side, x) in enumerate(zip(sides, v.tolist()))])
+    pairs = similarity.scores(chunks, 0.3, 14)
+    assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = {(i, j) for i in range(90) for j in range(90) if sides[i] == "new" and (sides[j] == "existing" or i < j) and u[i] @ u[j] >= 0.3}
+    got = pairs.collect()
+    assert len(got) == len(near) and {(int(r.left_id), int(r.right_id)) for r in got} == near
+    assert all(abs(r.score - u[int(r.left_id)] @ u[int(r.right_id)]) < 1e-12 and r.scope == f"new_vs_{sides[int(r.right_id)]}" for r in got)
+    again = chunks.where("side = 'new'").limit(20)
+    assert {(r.left_id, r.right_id) for r in similarity.scores(again.union(again), -0.0, 4).collect() if r.left_id >= r.right_id} == set()
+
+
 def test_bad_vectors(spark):
     with pytest.raises(ValueError):
         similarity.checked(_vectors(spark, [("a", "new", [1.0]), ("b", "new", [1.0, 2.0])]))
@@ -111,6 +128,21 @@ def test_clusters(spark):
     assert duplication.counts(found).first().asDict() == {"exact": 1, "already_in_index": 1, "near_duplicate": 1}
 
 
+def test_clusters_read_their_pairs_three_times_at_most(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = [("a", "b", 0.999, "new_vs_new"), ("b", "c", 0.998, "new_vs_new"), ("d", "e", 0.99, "new_vs_new"), ("a", "d", 0.9, "new_vs_new"), ("a", "f", 0.9, "new_vs_new"), ("a", "g", 0.9, "new_vs_existing")]
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = similarity.similar(spark.createDataFrame(rows, similarity.PAIRS).mapInArrow(counted, similarity.PAIRS))
+    assert {tuple(r) for r in duplication.exact_clusters(pairs).collect()} == {("a", "a", 0.998), ("b", "a", 0.998), ("c", "a", 0.998), ("d", "d", 0.99), ("e", "d", 0.99)}
+    assert seen.value <= 3 * len(rows)
+    assert duplication.tally(pairs).first().asDict() == {"exact": 2, "already_in_index": 1, "near_duplicate": 1}
+
+
 def test_embedding_failures(spark):
     def broken(texts):
         if any("bad" in t for t in texts):
