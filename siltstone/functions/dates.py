@@ -12,6 +12,8 @@ FISCAL = r"(?iuU)\bFY\s*(\d{4})\b"
 MONTH = rf"(?iuU)\b(?:as of\s+)?({MONTHS})\s+(?:(\d{{1,2}}),\s+)?(\d{{4}})\b"
 VERSION = r"(?iuU)\b(?:version|v)\s*\d+(?:\.\d+)+\b"
 CUES = r"(?iuU)\b(?:currently|this year|recently|at this time|as of now|today|current)\b"
+# what every match holds, found in one quick reading: of the date patterns, and of VERSION
+YEAR_DIGITS, VERSION_DIGITS = r"(?U)\d{4}", r"(?U)\d\.\d"
 _DATE = "struct<raw:string,date:date>"
 
 
@@ -44,16 +46,19 @@ def dates(c: Column | str) -> Column:
     begun = F.transform(valid, lambda x: F.struct(x["raw"].alias("raw"), F.make_date(x["y"], x["m"], F.lit(1)).alias("first"), x["d"].alias("d")))
     whole = F.transform(begun, lambda x: F.struct(x["raw"].alias("raw"), F.date_add(x["first"], F.least(x["d"], F.day(F.last_day(x["first"]))) - 1).alias("date")))
     # the first of each (lower-case text, date) keeps its own spelling
-    return F.aggregate(
+    kept = F.aggregate(
         whole,
         F.array().cast(f"array<{_DATE}>"),
         lambda acc, x: F.when(F.exists(acc, lambda a: (F.lower(a["raw"]) == F.lower(x["raw"])) & (a["date"] == x["date"])), acc).otherwise(F.concat(acc, F.array(x))),
     )
+    return F.when(~c.rlike(YEAR_DIGITS), F.array().cast(f"array<{_DATE}>")).otherwise(kept)
 
 
 def sorted_hits(c: Column | str, pattern: str) -> Column:
     """The distinct lower-case matches of a pattern in order."""
-    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lower)))
+    c = F.col(c) if isinstance(c, str) else c
+    hits = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.lower)))
+    return F.when(~c.rlike(VERSION_DIGITS), F.array().cast("array<string>")).otherwise(hits) if pattern == VERSION else hits
 
 
 def whole_months(then: Column, now: Column) -> Column:

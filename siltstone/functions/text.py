@@ -25,8 +25,8 @@ def tokens(c: Column | str) -> Column:
 
 def boilerplate_hits(c: Column | str) -> Column:
     """The boilerplate phrases that a text contains, as substrings."""
-    low = F.lower(c)
-    return F.filter(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))
+    # the text is folded once, as a lambda's argument, not for each phrase
+    return F.get(F.transform(F.array(F.lower(c)), lambda low: F.filter(F.array(*map(F.lit, BOILERPLATE)), lambda p: F.contains(low, p))), 0)
 
 
 def stem(c: Column | str) -> Column:

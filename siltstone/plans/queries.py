@@ -151,15 +151,20 @@ def chunk_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunker.chunk(_documents(spark, sf_dir)).select(F.col("document_id").cast("long").alias("doc_id"), "chunk_index", "start_char", "end_char", "text")
 
 
+def _copies(docs: DataFrame) -> DataFrame:
+    """Each document with an equal text of a lesser id, as an exact pair with the least one; texts are told apart by their SHA-256, and none is shuffled."""
+    t = docs.select("doc_id", F.sha2("text", 256).alias("hash"))
+    least = t.groupBy("hash").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
+    return t.join(least, "hash").where("doc_id > low").select(F.col("low").cast("string").alias("left_id"), F.col("doc_id").cast("string").alias("right_id"), F.lit(1.0).alias("score"), F.lit("new_vs_new").alias("scope"), F.lit("exact").alias("severity"))
+
+
 def _classified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(chunks, duplication findings, staleness findings, classification): equal texts are exact pairs with the least id."""
     chunks = _whole_chunks(spark, sf_dir)
-    t = _table(spark, sf_dir, "documents").select(F.col("doc_id"), "text")
-    least = t.groupBy("text").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    pairs = t.join(least, "text").where("doc_id > low").select(F.col("low").cast("string").alias("left_id"), F.col("doc_id").cast("string").alias("right_id"), F.lit(1.0).alias("score"), F.lit("new_vs_new").alias("scope"), F.lit("exact").alias("severity"))
+    pairs = materialise(_copies(_table(spark, sf_dir, "documents")), "query-pairs")
     dup = materialise(duplication.findings(pairs, chunks), "query-duplicates")
     aged = staleness.assess(chunks.withColumns({"created_at": F.lit(None).cast("timestamp"), "modified_at": F.lit(None).cast("timestamp")}), NOW)
-    stale = materialise(staleness.findings(aged), "query-stale")
+    stale = materialise(staleness.findings(aged).drop("text"), "query-stale")
     docs = _documents(spark, sf_dir)
     none = spark.createDataFrame([], "document_id string, finding_id string")
     return chunks, dup, stale, materialise(rot.classify(docs, chunks, dup, stale, none, none, metadata.assess(docs)), "query-rot")

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from siltstone import errors
 from siltstone.functions import dates as D
+from siltstone.functions import text as X
 from siltstone.operators import chunker, contradiction, duplication, embedding, lineage, metadata, rot, scoring, similarity, staleness, validation
-from siltstone.plans import precompute
+from siltstone.plans import precompute, queries
 from siltstone.plans.audit import AuditConfig, audit
 from siltstone.sources import chunk_export, documents, reports, samples, views
 
@@ -143,6 +144,22 @@ def test_clusters_read_their_pairs_three_times_at_most(spark):
     assert duplication.tally(pairs).first().asDict() == {"exact": 2, "already_in_index": 1, "near_duplicate": 1}
 
 
+def test_text_expressions_read_a_text_once(spark):
+    texts = ["TBD: see the Agenda, n/a", "\u0661\u0662\u0663 Draft", "as of May 2024, Q3 2023", "version \u0661.\u0662 and v 3.4", "none of it", "", None]
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, t string")
+    got = [r[1:] for r in t.select("i", X.boilerplate_hits("t"), F.transform(D.dates("t"), lambda d: d["raw"]), D.sorted_hits("t", D.VERSION)).orderBy("i").collect()]
+    assert got == [(["tbd", "n/a", "agenda"], [], []), (["draft"], [], []), ([], ["Q3 2023", "as of May 2024"], []), ([], [], ["v 3.4", "version \u0661.\u0662"]), ([], [], []), ([], [], []), ([], None, None)]
+    plan = t.select(X.boilerplate_hits("t"), D.dates("t"))._jdf.queryExecution().executedPlan().toString()
+    assert "filter(array(" not in plan.split("transform(array(lower(")[0] and "RLIKE(t" in plan
+
+
+def test_copies_are_found_without_shuffling_texts(spark):
+    t = spark.createDataFrame([(3, "x"), (1, "x"), (2, "y"), (5, "x"), (6, None), (7, None)], "doc_id long, text string")
+    got = queries._copies(t)
+    assert {(r.left_id, r.right_id) for r in got.collect()} == {("1", "3"), ("1", "5")}
+    assert not [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "hashpartitioning(text" in x]
+
+
 def test_embedding_failures(spark):
     def broken(texts):
         if any("bad" in t for t in texts):
