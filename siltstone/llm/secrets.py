@@ -41,7 +41,7 @@ REACH, STRONG_BITS, STRONG_LENGTH = 200, 3.0, 20
 # what every candidate holds, in the syntax of Arrow's regular expressions, which run in time linear in the text
 HINT = (
     r"PRIVATE KEY|gh[pousr]_|sk_live_|sk-[A-Za-z0-9]{32}|xox[abprs]-|AIza|glpat-|AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|://|@|\p{Nd}\.\p{Nd}+\.\p{Nd}|[0-9A-Za-z/+]{32}"
-    r"|(?i:token|secret|key|passwd|password|pwd|auth|user|name|id|login|account|host|endpoint|server|url)[\s\x0b\x1c-\x1f\x{85}\p{Z}]{0,3}[:=]"
+    r"|(?i:token|secret|key|passwd|password|pwd|auth|user|name|id|login|account|tenant|host|endpoint|server|url)[\s\x0b\x1c-\x1f\x{85}\p{Z}]{0,3}[:=]"
 )
 _PATTERNS = re.compile(
     r"""(?P<pem>-----BEGIN\ [A-Z ]*PRIVATE\ KEY-----(?:[A-Za-z0-9+/=\s]*-----END\ [A-Z ]*PRIVATE\ KEY-----)?)

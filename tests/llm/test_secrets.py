@@ -77,6 +77,11 @@ def test_hint_passes_every_text_with_candidates(text):
     assert hinted([text]) == [True] or secrets.candidates(text) == []
 
 
+def test_hint_has_every_name():
+    texts = [f"{n}{a}{s} abcdefgh-ij" for n in NAMES for a in ("", " ", "\u2003") for s in ":="]
+    assert [t for t, h in zip(texts, hinted(texts)) if not h] == []
+
+
 def test_secrets_within_urls(spark):
     urls = ["https://api.x.com/v1?api_key=abcdef1234567890abcdef12", "postgres://bob:S3cretPassw0rdLong@db1/x", "https://h.example.org/a?user=alice77&token=hunter2hunter#x", "https://h.example.org/ghp_" + "a1" * 18]
     want = [{"secret": "abcdef1234567890abcdef12"}, {"identifier": "bob", "secret": "S3cretPassw0rdLong"}, {"identifier": "alice77", "secret": "hunter2hunter"}, {"secret": "ghp_" + "a1" * 18}]
